@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from voxelframe.llm import lm, substring
+from voxelframe.llm import bpe, lm, substring, suffix, tokenfile
 
 QUERIES = {
+    "op2_token_files": tokenfile.op2_token_files,
     "op5_substring_dedup": substring.op5_substring_dedup,
+    "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
+    "op9_suffix_dedup": suffix.op9_suffix_dedup,
     "op10_lm_score": lm.op10_lm_score,
 }
 
