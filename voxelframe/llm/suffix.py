@@ -35,6 +35,8 @@ from voxelframe.session import table
 GRAM, SHALLOW = 64, 96
 #: A gram is very frequent from so many suffixes on; its windows are then dealt out in so many parts.
 FREQUENT, PARTS = 20_000, 8
+#: Suffixes whose contexts are handled at a time.
+SLICE = 2048
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -218,24 +220,30 @@ class _Suffixes:
             high.append(hi[lo <= hi])
         use, key, low, high = (np.concatenate(x) for x in (use, key, low, high))
         span = self.reach + self.width
+        context = np.zeros((len(use), span), np.uint8)
         first, end = self.off[self.row[use]], self.off[self.row[use] + 1]
-        at = self.p[use, None] + np.arange(-self.reach, self.width)
-        inside = (at >= first[:, None]) & (at < end[:, None])
-        context = np.where(inside, self.buf[np.clip(at, 0, max(0, len(self.buf) - 1))], 0).astype(np.uint8) if len(use) else np.zeros((0, span), np.uint8)
-        record = np.concatenate([key.astype(">u8").view(np.uint8).reshape(-1, 8), low.astype(">u2").view(np.uint8).reshape(-1, 2), high.astype(">u2").view(np.uint8).reshape(-1, 2), context], axis=1)
-        _, at, self.entry, n = np.unique(record.view(f"V{12 + span}").reshape(-1), return_index=True, return_inverse=True, return_counts=True)
-        self.use = use
+        for k in range(0, len(use), SLICE):
+            at = self.p[use[k : k + SLICE], None] + np.arange(-self.reach, self.width)
+            inside = (at >= first[k : k + SLICE, None]) & (at < end[k : k + SLICE, None])
+            context[k : k + SLICE][inside] = self.buf[at[inside]]
+        words = np.zeros((len(use), -(-span // 8)), np.uint64)
+        words.view(np.uint8)[:, :span] = context
+        factors = np.multiply.accumulate(np.full(words.shape[1], T.STEP)) | np.uint64(1)
+        one, two = ((T.mix(words + np.uint64(x)) * factors).sum(1) for x in (0, 1))
+        record = np.stack([key, low.astype(np.uint64), high.astype(np.uint64), one, two], axis=1)
+        del words
+        _, at, self.entry, n = np.unique(record, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        self.entry, self.use = self.entry.reshape(-1), use
         return key[at], low[at].astype(np.uint16), high[at].astype(np.uint16), (n > 1).astype(np.uint8), context[at]
 
     def covered(self, marks: np.ndarray) -> np.ndarray:
         """Bytes under the windows that are marked for each entry."""
         d = np.zeros(len(self.buf) + 1, np.int32)
-        own = marks[self.entry]
-        s, k = np.nonzero(own)
-        start = self.p[self.use[s]] - k
-        start = np.unique(start)
-        d[start] += 1
-        np.subtract.at(d, start + self.width, 1)
+        for i in range(0, len(self.use), SLICE):
+            s, k = np.nonzero(marks[self.entry[i : i + SLICE]])
+            start = self.p[self.use[i + s]] - k
+            np.add.at(d, start, 1)
+            np.subtract.at(d, start + self.width, 1)
         return np.cumsum(d[:-1], dtype=np.int32) > 0
 
 
@@ -243,7 +251,7 @@ def hash_bytes(x: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little")
 
 
-def remove_repeats(docs: DataFrame, width: int = 400, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 400, frequent: int = FREQUENT, with_text: bool = False) -> DataFrame:
     """A row for each of `docs` (doc_id, text); with_text adds the remaining bytes."""
     if width <= GRAM:
         raise ValueError(f"strings have more than {GRAM} bytes")
@@ -257,7 +265,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, with_text: bool = False) -
     def count(_, asked):
         groups, ends, index, (m, keys) = merge(asked)
         total = np.bincount(index, m, len(keys))
-        kind = (total > 1).astype(np.uint8) + (total > FREQUENT)
+        kind = (total > 1).astype(np.uint8) + (total > frequent)
         for g, a, b in zip(groups, ends[:-1], ends[1:], strict=True):
             yield g, kind[index[a:b]].tobytes()
 
