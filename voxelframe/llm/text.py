@@ -18,6 +18,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 VALUE = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | U64(1)
+#: Another order of the bytes, for a second hash.
+TURN = _RNG.permutation(256).astype(np.uint8)
 STEP = U64(0x9E3779B97F4A7C15 | 1)
 STEP_BACK = U64(pow(int(STEP), -1, 2**64))
 FOLD = U64(0xD6E8FEB86659FD93)
@@ -73,13 +75,13 @@ def chunks(buf: np.ndarray, off: np.ndarray, size: int = CHUNK):
         i = j
 
 
-def spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word."""
+def spans(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word; space tells the bytes that separate words."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    space = SPACE[buf]
+    space = space[buf]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0] = after[-1] = True
     before[1:], after[:-1] = space[:-1], space[1:]
