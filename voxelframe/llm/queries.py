@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from voxelframe.llm import bpe, linededup, lm, substring, suffix, tokenfile, toxicity
+from voxelframe.llm import bpe, linededup, lm, neardup, substring, suffix, tokenfile, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_token_files": tokenfile.op2_token_files,
     "op3_line_dedup": linededup.op3_line_dedup,
+    "op4_near_dedup": neardup.op4_near_dedup,
     "op5_substring_dedup": substring.op5_substring_dedup,
     "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
     "op9_suffix_dedup": suffix.op9_suffix_dedup,
