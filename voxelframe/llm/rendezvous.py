@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from voxelframe.session import input_bytes, ship, shuffle_partitions
 
-#: Bytes of input files that one group of documents holds.
-GROUP_BYTES = 12 << 20
+#: Bytes of input files that one group of documents holds. There are groups times buckets blocks, so groups grow with the
+#: square root of a large input, which keeps a block at BLOCK_BYTES or more: 5 MB at 30 GB, 300 MB at 100 TB.
+GROUP_BYTES, BLOCK_BYTES = 6 << 20, 1 << 10
 BLOCK = pa.schema([("grp", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
 BLOCK_DDL = "grp int, bucket int, payload binary"
 
@@ -63,7 +64,8 @@ class Rendezvous:
     def __init__(self, docs: DataFrame, columns: Iterable[str] = ("doc_id", "text"), group_bytes: int = GROUP_BYTES):
         spark = docs.sparkSession
         ship(spark)
-        self.n = max(shuffle_partitions(spark), -(-input_bytes(docs) // group_bytes))
+        size = input_bytes(docs)
+        self.n = max(shuffle_partitions(spark), int(size / max(group_bytes, (size * BLOCK_BYTES) ** 0.5)) + 1)
         where = F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text")))
         self.docs = docs.select(*columns, F.pmod(where, F.lit(self.n)).cast("int").alias("grp")).repartition(self.n, "grp")
 
@@ -79,6 +81,7 @@ class Rendezvous:
                 at = cuts(keys, n)
                 made = ((b, pack(keys[at[b] : at[b + 1]], *(x[at[b] : at[b + 1]] for x in rest))) for b in range(n))
             made = list(made)
+            pa.default_memory_pool().release_unused()
             return pa.table([pa.array([grp] * len(made), pa.int32()), pa.array([b for b, _ in made], pa.int32()), pa.array([p for _, p in made], pa.binary())], BLOCK)
 
         if answers is None:
@@ -90,6 +93,7 @@ class Rendezvous:
 
         def run(key, t):
             made = list(fn(key[0].as_py(), blocks(t, "grp")))
+            pa.default_memory_pool().release_unused()
             return pa.table([pa.array([g for g, _ in made], pa.int32()), pa.array([key[0].as_py() + (tag << 24)] * len(made), pa.int32()), pa.array([p for _, p in made], pa.binary())], BLOCK)
 
         return asks.repartition(self.n, "bucket").groupBy("bucket").applyInArrow(run, BLOCK_DDL)

@@ -255,7 +255,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, frequent: int = FREQUENT,
     """A row for each of `docs` (doc_id, text); with_text adds the remaining bytes."""
     if width <= GRAM:
         raise ValueError(f"strings have more than {GRAM} bytes")
-    r = Rendezvous(docs)
+    r = Rendezvous(docs, group_bytes=4 << 20)
     n, reach = r.n, width - GRAM
     span = reach + width
 
@@ -282,17 +282,18 @@ def remove_repeats(docs: DataFrame, width: int = 400, frequent: int = FREQUENT,
             yield k, pack(key[a:b], *(x[a:b] for x in rest), context[a:b].reshape(-1))
 
     def compare(_, asked):
-        parts = {g: unpack(p) for g, p in asked.items()}
+        parts = {g: unpack(asked.pop(g)) for g in list(asked)}
         key, low, high, several, context = (np.concatenate(x) for x in zip(*parts.values(), strict=True))
-        context = context.reshape(-1, span)
+        context, sizes = context.reshape(-1, span), {g: len(x[0]) for g, x in parts.items()}
+        del parts
         _, group = np.unique(key, return_inverse=True)
         out = repeated(context[:, :reach], context[:, reach:], group.reshape(-1), low.astype(np.int64), high.astype(np.int64), width)
         d = np.arange(reach + 1)
         out |= (several[:, None] > 0) & (d >= low[:, None]) & (d <= high[:, None])
         at = 0
-        for g, x in parts.items():
-            yield g, np.packbits(out[at : at + len(x[0])], axis=1).tobytes()
-            at += len(x[0])
+        for g, size in sizes.items():
+            yield g, np.packbits(out[at : at + size], axis=1).tobytes()
+            at += size
 
     def finish(docs, answers):
         docs = T.rows_in_order(docs)
