@@ -7,10 +7,14 @@ so only those are posted (prefix filter); tokens that no other class has come fi
 The other collisions are skipped: they are counted from the two signatures of a pair that met. Pairs that collide often
 enough are confirmed on their full sets.
 
-A long posting list is not expanded into its pairs. First all its members are tested against its smallest one, and
-linked members are united; then against a second, differently chosen one; only pairs that still are of different
-components are compared with each other. So a group of near copies costs about one test a member, and no link between
-components is lost.
+What a class shares with no other posted class can't be in an intersection, so the number of its shingles that others
+have too bounds each of its similarities exactly; classes and pairs whose bound is too low are dropped before they meet.
+Copies with many edits of their own, which are near each other but not near enough, never form pairs.
+
+A long posting list is not expanded into its pairs. First all its members are tested against the one with the least
+part of its own (in a group of edited copies that is the original), and linked members are united; then against a
+second, differently chosen one; only pairs that still are of different components and within the bound are compared with
+each other. So a group of near copies costs about one test a member, and no link between components is lost.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with nothing; a text of
 fewer words than a shingle has is one shingle; a null doc_id takes no part, has no component and is kept; of rows with
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.llm import text as T
 from voxelframe.llm.components import components
+from voxelframe.llm.rendezvous import Rendezvous, cuts, merge
 from voxelframe.session import keep, ship, table
 
 COORDINATES, MISS = 40, 1e-5
@@ -100,7 +105,8 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def postings(classes: DataFrame, least: int) -> DataFrame:
-    """(token, doc_id, n): each class under its rarest shared tokens, as many as the prefix filter needs."""
+    """(doc_id, n, tokens): each class that has enough shared tokens, with the rarest of these (as structs of count and
+    token), as many as the prefix filter needs."""
 
     def tokens(batches):
         salt = (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32))[None, :]
@@ -113,10 +119,41 @@ def postings(classes: DataFrame, least: int) -> DataFrame:
     shared = every.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
     own = every.join(shared, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("many", "token"))).alias("tokens"))
     rarest = F.slice("tokens", 1, F.size("tokens") - (least - 1))
-    return own.where(F.size("tokens") >= least).select("doc_id", "n", F.explode(rarest).alias("t")).select("t.token", "doc_id", "n")
+    return own.where(F.size("tokens") >= least).select("doc_id", "n", rarest.alias("tokens"))
+
+
+def shared_sizes(cand: DataFrame, k: int) -> DataFrame:
+    """(doc_id, shared): how many shingles of each of the candidates (doc_id, text) another candidate has too."""
+    r = Rendezvous(cand)
+    buckets = r.n
+
+    def sets(docs):
+        docs = T.rows_in_order(docs)
+        parts = [shingle_sets(buf, off, k) for _, _, buf, off in T.chunks(*T.flat(docs["text"]))]
+        return docs["doc_id"], T.joined([x for x, _ in parts], np.uint64), T.joined([n for _, n in parts], np.int64)
+
+    def ask(docs, _):
+        keys, n = np.unique(sets(docs)[1], return_counts=True)
+        return keys, n.astype(np.uint32)
 
+    def answer(_, asked):
+        groups, ends, index, (n, keys) = merge(asked)
+        many = np.bincount(index, n, len(keys)) > 1
+        for g, a, b in zip(groups, ends[:-1], ends[1:], strict=True):
+            yield g, np.packbits(many[index[a:b]]).tobytes()
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, least: int) -> DataFrame:
+    def finish(docs, answers):
+        ids, every, n = sets(docs)
+        keys, index = np.unique(every, return_inverse=True)
+        many = T.bits_of(answers, np.diff(cuts(keys, buckets)))[index.reshape(-1)]
+        total = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
+        end = np.cumsum(n)
+        return pa.table({"doc_id": ids.cast(pa.int64()), "shared": total[end] - total[end - n]})
+
+    return r.finish(finish, r.answer(r.ask(ask), answer), "doc_id long, shared long")
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, cand: DataFrame, k: int, percent: int, least: int) -> DataFrame:
     """Those of `pairs` (a, b) that are similar: by collisions of their signatures, then by their full sets."""
     sig = classes.select("doc_id", "signature")
 
@@ -135,12 +172,10 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
             for i, j, buf, off in T.chunks(*T.flat(batch.column("text"))):
                 keys, n = shingle_sets(buf, off, k)
                 cut, raw = (8 * np.concatenate([[0], np.cumsum(n)])).tolist(), keys.tobytes()
-                yield pa.RecordBatch.from_pydict({"doc_id": ids[i:j], "one": digest_of(keys, n), "shingles": [raw[p:q] for p, q in zip(cut[:-1], cut[1:], strict=True)]})
+                yield pa.RecordBatch.from_pydict({"doc_id": ids[i:j], "shingles": [raw[p:q] for p, q in zip(cut[:-1], cut[1:], strict=True)]})
 
     met = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    # A class's set is that of the row with its digest, should a doc_id have several texts.
-    own = docs.select("doc_id", "text").join(met, "doc_id").mapInArrow(sets, "doc_id long, one long, shingles binary").join(classes.select("doc_id", "one"), ["doc_id", "one"]).dropDuplicates(["doc_id"])
-    own = keep(own.select("doc_id", "shingles"), "sets")
+    own = keep(cand.join(met, "doc_id").mapInArrow(sets, "doc_id long, shingles binary"), "sets")
 
     def similar(batches):
         for batch in batches:
@@ -155,6 +190,13 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     return near.join(left, "a").join(right, "b").mapInArrow(similar, "a long, b long")
 
 
+def _digested(batches, k: int):
+    for batch in batches:
+        for i, j, buf, off in T.chunks(*T.flat(batch.column("text"))):
+            part = batch.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("text"), pa.array(digest_of(*shingle_sets(buf, off, k)))], ["doc_id", "text", "one"])
+
+
 def digest_of(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     out, some = np.zeros(len(n), np.uint64), np.flatnonzero(n)
     if len(some):
@@ -166,14 +208,21 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     """A row for each of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept. Documents are linked if 100
     times their sets' intersection is at least `percent` times their union."""
     ship(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     least = least_matches(percent / 100)
     every = keep(sketches(docs, k), "sketches")
     some = every.where("doc_id IS NOT NULL AND n > 0")
     # The smallest doc_id stands for all with an equal set.
     classes = keep(some.groupBy("one", "two", "n").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "classes")
-    posts = keep(postings(classes.dropDuplicates(["doc_id"]), least), "postings")
     single = classes.dropDuplicates(["doc_id"])
-    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    posted = keep(postings(single, least), "postings")
+    cand = docs.select("doc_id", "text").join(posted.select("doc_id"), "doc_id").mapInArrow(lambda batches: _digested(batches, k), "doc_id long, text string, one long")
+    cand = keep(cand.join(single.select("doc_id", "one"), ["doc_id", "one"]).dropDuplicates(["doc_id"]).drop("one"), "candidates")
+    posts = posted.join(shared_sizes(cand, k), "doc_id").where(100 * F.col("shared") >= percent * F.col("n"))
+    posts = keep(posts.select("doc_id", "n", "shared", F.explode("tokens.token").alias("token")), "posts")
+    # The greatest intersection that two can have, and what their union then is.
+    most = F.least("shared", "theirs")
+    fits = 100 * most >= percent * (F.col("n") + F.col("m") - most)
     links, tried, label = None, None, None
 
     def label_of(rows: DataFrame, column: str, name: str) -> DataFrame:
@@ -187,11 +236,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         open_ = own if label is None else own.join(own.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("token"), "token")
         if label is not None:
             open_ = keep(open_, "open")
-        order = (F.col("doc_id"), F.xxhash64("doc_id", F.lit(round_)), None)[round_]
+        order = (F.struct(1 - F.col("shared") / F.col("n"), "doc_id"), F.struct(F.xxhash64("doc_id"), "doc_id"), None)[round_]
+        them = [F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("shared").alias("theirs"), F.col("own").alias("its")]
         if order is not None:
-            other = open_.groupBy("token").agg(F.min_by(F.struct(F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("own").alias("its")), order).alias("o")).select("token", "o.*")
+            other = open_.groupBy("token").agg(F.min_by(F.struct(*them), order).alias("o")).select("token", "o.*")
         else:
-            other = open_.select("token", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("own").alias("its"))
+            other = open_.select("token", *them)
         met = open_.join(other, "token").where((F.col("own") != F.col("its")) & fits)
         if order is None:
             met = met.where("doc_id < other")
@@ -200,7 +250,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = keep(confirm(pairs, single, docs, k, percent, least), "links")
+        new = keep(confirm(pairs, single, cand, k, percent, least), "links")
         links = new if links is None else links.unionByName(new)
         label = components(links)
     rep = label_of(classes.select("one", "two", "n", "doc_id"), "doc_id", "component_id").select("one", "two", F.col("n").alias("size"), "component_id")
