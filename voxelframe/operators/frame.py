@@ -366,7 +366,8 @@ class ArrayFrame:
             elif len(own) == 1:
                 df = df.where(F.col(k) == own[0]).withColumn(k, F.lit(0).cast("long"))
             else:  # as many places as are given, also repeated ones
-                df = df.where(F.col(k).isin(own)).withColumn("old", F.col(k)).withColumn(k, F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(len(own) - 1)), lambda i: F.when(F.get(X.places(own), i) == F.col("old"), i)), F.isnotnull)).cast("long")).drop("old")
+                at = F.filter(F.transform(F.sequence(F.lit(0), F.lit(len(own) - 1)), lambda i: F.when(F.get(X.places(own), i) == F.col(k), i.cast("long"))), F.isnotnull)
+                df = df.where(F.col(k).isin(own)).withColumn(k, F.explode(at))
         out = type(self)(df, replace(self.meta, base=tuple(map(len, base)), index=None))
         shape = tuple(map(len, value))
         if shape == self.value_shape and all(isinstance(o, range) and o.step == 1 for o in value):

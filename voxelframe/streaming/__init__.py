@@ -1,0 +1 @@
+"""Collections over streams of records."""
