@@ -9,6 +9,7 @@ remade from its inputs if an executor is lost.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 from collections.abc import Callable, Iterable
 
@@ -26,6 +27,18 @@ BLOCK = pa.schema([("grp", pa.int32()), ("bucket", pa.int32()), ("payload", pa.b
 BLOCK_DDL = "grp int, bucket int, payload binary"
 
 
+def lean() -> None:
+    """Give memory that is free back to the system, now and, for large arrays, whenever they are freed: a Python worker
+    lives through many tasks beside the JVM that has most of the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pack(*arrays: np.ndarray, rising: bool = True) -> bytes:
     """Arrays as one block; the first, if rising, as differences. Bytes of equal weight stand together, so that the
     shuffle's compression removes those that are nearly always zero."""
@@ -75,13 +88,14 @@ class Rendezvous:
         n = self.n
 
         def run(grp, docs, got):
+            lean()
             made = fn(docs, blocks(got, "bucket") if got is not None else None)
             if isinstance(made, tuple):
                 keys, *rest = made
                 at = cuts(keys, n)
                 made = ((b, pack(keys[at[b] : at[b + 1]], *(x[at[b] : at[b + 1]] for x in rest))) for b in range(n))
             made = list(made)
-            pa.default_memory_pool().release_unused()
+            lean()
             return pa.table([pa.array([grp] * len(made), pa.int32()), pa.array([b for b, _ in made], pa.int32()), pa.array([p for _, p in made], pa.binary())], BLOCK)
 
         if answers is None:
@@ -92,15 +106,20 @@ class Rendezvous:
         """fn(bucket, {group: block}) gives (group, block) pairs. tag tells the answers of several rounds apart."""
 
         def run(key, t):
+            lean()
             made = list(fn(key[0].as_py(), blocks(t, "grp")))
-            pa.default_memory_pool().release_unused()
+            lean()
             return pa.table([pa.array([g for g, _ in made], pa.int32()), pa.array([key[0].as_py() + (tag << 24)] * len(made), pa.int32()), pa.array([p for _, p in made], pa.binary())], BLOCK)
 
         return asks.repartition(self.n, "bucket").groupBy("bucket").applyInArrow(run, BLOCK_DDL)
 
     def finish(self, fn: Callable, answers: DataFrame, schema: str) -> DataFrame:
         """fn(documents, answers by bucket) gives a table of the result's rows."""
-        return self._with(answers).applyInArrow(lambda key, t, a: fn(t, blocks(a, "bucket")), schema)
+        def run(key, t, a):
+            lean()
+            return fn(t, blocks(a, "bucket"))
+
+        return self._with(answers).applyInArrow(run, schema)
 
     def _with(self, answers: DataFrame):
         return self.docs.groupBy("grp").cogroup(answers.repartition(self.n, "grp").groupBy("grp"))

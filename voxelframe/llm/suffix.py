@@ -187,6 +187,19 @@ def repeated(before: np.ndarray, after: np.ndarray, group: np.ndarray, low: np.n
     return out
 
 
+def runs(group: np.ndarray):
+    """Places of whole groups, about 2 * SLICE at a time; of groups of one nothing."""
+    order = np.argsort(group, kind="stable")
+    size = np.bincount(group)
+    order = order[size[group[order]] > 1]
+    edge = np.flatnonzero(np.diff(group[order])) + 1
+    ends, at = np.append(edge, len(order)), 0
+    while at < len(order):
+        stop = int(ends[min(np.searchsorted(ends, at + 2 * SLICE), len(ends) - 1)])
+        yield np.sort(order[at:stop])
+        at = stop
+
+
 class _Suffixes:
     def __init__(self, docs: pa.Table, width: int):
         self.docs, self.width, self.reach = docs, width, width - GRAM
@@ -226,12 +239,13 @@ class _Suffixes:
             at = self.p[use[k : k + SLICE], None] + np.arange(-self.reach, self.width)
             inside = (at >= first[k : k + SLICE, None]) & (at < end[k : k + SLICE, None])
             context[k : k + SLICE][inside] = self.buf[at[inside]]
-        words = np.zeros((len(use), -(-span // 8)), np.uint64)
-        words.view(np.uint8)[:, :span] = context
-        factors = np.multiply.accumulate(np.full(words.shape[1], T.STEP)) | np.uint64(1)
-        one, two = ((T.mix(words + np.uint64(x)) * factors).sum(1) for x in (0, 1))
+        factors = np.multiply.accumulate(np.full(-(-span // 8), T.STEP)) | np.uint64(1)
+        one, two = np.zeros(len(use), np.uint64), np.zeros(len(use), np.uint64)
+        for k in range(0, len(use), SLICE):
+            words = np.zeros((len(context[k : k + SLICE]), len(factors)), np.uint64)
+            words.view(np.uint8)[:, :span] = context[k : k + SLICE]
+            one[k : k + SLICE], two[k : k + SLICE] = ((T.mix(words + np.uint64(x)) * factors).sum(1) for x in (0, 1))
         record = np.stack([key, low.astype(np.uint64), high.astype(np.uint64), one, two], axis=1)
-        del words
         _, at, self.entry, n = np.unique(record, axis=0, return_index=True, return_inverse=True, return_counts=True)
         self.entry, self.use = self.entry.reshape(-1), use
         return key[at], low[at].astype(np.uint16), high[at].astype(np.uint16), (n > 1).astype(np.uint8), context[at]
@@ -287,7 +301,9 @@ def remove_repeats(docs: DataFrame, width: int = 400, frequent: int = FREQUENT,
         context, sizes = context.reshape(-1, span), {g: len(x[0]) for g, x in parts.items()}
         del parts
         _, group = np.unique(key, return_inverse=True)
-        out = repeated(context[:, :reach], context[:, reach:], group.reshape(-1), low.astype(np.int64), high.astype(np.int64), width)
+        out = np.zeros((len(key), reach + 1), bool)
+        for own in runs(group.reshape(-1)):
+            out[own] = repeated(context[own, :reach], context[own, reach:], group.reshape(-1)[own], low[own].astype(np.int64), high[own].astype(np.int64), width)
         d = np.arange(reach + 1)
         out |= (several[:, None] > 0) & (d >= low[:, None]) & (d <= high[:, None])
         at = 0
