@@ -123,7 +123,7 @@ class LineStore:
 
 def batches_of(rows: DataFrame, n: int) -> list[DataFrame]:
     """Ranges of doc_id of about equal numbers of rows, in ascending order."""
-    edges = sorted(set(rows.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.02)))
+    edges = sorted(set(rows.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.02))) if n > 1 else []
     bounds = [None, *map(int, edges), None]
     out = []
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):

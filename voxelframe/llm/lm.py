@@ -77,10 +77,10 @@ def score(docs: DataFrame, order: int = 2, mu: float = 50.0, modulus: int = 7, r
         docs = T.rows_in_order(docs)
         out = held_out(docs["doc_id"].to_pylist(), modulus, remainder)
         seen, trained = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for i, j, first, last, keys, _ in _keys(docs, order):
+        for i, j, first, last, keys, place in _keys(docs, order):
             train = np.repeat(~out[i:j], last - first + 1)
             seen += [np.unique(k) for k in keys]
-            trained += [k[train] for k in keys]
+            trained += [k[train & (place >= n - 1)] for n, k in enumerate(keys)]
         keys = np.unique(np.concatenate(seen))
         known, n = np.unique(np.concatenate(trained), return_counts=True)
         counts = np.zeros(len(keys), np.uint64)
