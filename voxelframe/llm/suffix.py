@@ -207,7 +207,8 @@ class _Suffixes:
         parts = [(i, anchors(buf, off, width, GRAM)) for i, _, buf, off in T.chunks(self.buf, self.off)]
         move = [self.off[i] for i, _ in parts]
         self.p, self.a, self.b = (T.joined([x[k] + m for (_, x), m in zip(parts, move, strict=True)], np.int64) for k in (0, 2, 3))
-        self.key = T.joined([x[1] for _, x in parts], np.uint64)
+        # Anchors have small hashes by their nature; mixed again, they are spread over all buckets.
+        self.key = T.mix(T.joined([x[1] for _, x in parts], np.uint64) + T.STEP)
         self.row = T.joined([x[4] + i for i, x in parts], np.int64)
 
     def first_round(self) -> tuple[np.ndarray, np.ndarray]:
