@@ -1,9 +1,12 @@
 import json
 import os
+from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from voxelframe import catalogue
 from voxelframe.functions import kernels as K
 from voxelframe.sources import listing, readers
 
@@ -136,3 +139,19 @@ def test_listing(spark, tmp_path):
     assert listing.single(spark, str(tmp_path / "e.txt")) == b"x"
     with pytest.raises(ValueError):
         listing.single(spark, str(tmp_path / "*.tif*"))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+@pytest.mark.parametrize("name", ["images_binary_roundtrip_all", "png_roundtrip_all", "tif_roundtrip_all", "tif_planes_all"])
+def test_whole_tables_come_back(spark, name):
+    d = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{d}/embeddings.parquet").count()
+    assert catalogue.queries()[name](spark, d).count() == n * 64
+
+
+def test_more_images_than_five_digits(spark, tmp_path):
+    images = readers.images_from_array(spark, np.arange(8.0).reshape(2, 2, 2))
+    far = images._new(F.col("values"))
+    far.df, far.meta = far.df.withColumn("k0", F.col("k0") + 99999), replace(far.meta, base=(100001,))
+    far.tobinary(str(tmp_path / "far"))
+    assert (readers.images_from_binary(spark, str(tmp_path / "far"), shape=(2, 2), conf="none.json", dtype="float64").toarray() == images.toarray()).all()

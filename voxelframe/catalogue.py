@@ -136,6 +136,11 @@ add("images_binary_roundtrip", _there_and_back(lambda s, d, p: I(s, d)[:40].tobi
 add("png_roundtrip", _there_and_back(lambda s, d, p: _bytes(s, d)[:40].topng(p), lambda s, p: readers.images_from_png(s, p)), cell(BYTES) + " WHERE k0 < 40")
 add("tif_roundtrip", _there_and_back(lambda s, d, p: V(s, d)[:40].totif(p), lambda s, p: readers.images_from_tif(s, p)), cell("value") + " WHERE k0 < 40")
 add("tif_planes", _there_and_back(lambda s, d, p: V(s, d)[:40].totif(p), lambda s, p: readers.images_from_tif(s, p, nplanes=2)), f"SELECT 2 * k0 + pos // 32 AS k0, CAST(pos % 32 AS INTEGER) AS pos, {r('value')} FROM e WHERE k0 < 40")
+# The four above over whole tables.
+add("images_binary_roundtrip_all", _there_and_back(lambda s, d, p: I(s, d).tobinary(p), lambda s, p: readers.images_from_binary(s, p, shape=(8, 8), conf="none.json", dtype="float64")), cell("value"))
+add("png_roundtrip_all", _there_and_back(lambda s, d, p: _bytes(s, d).topng(p), lambda s, p: readers.images_from_png(s, p)), cell(BYTES))
+add("tif_roundtrip_all", _there_and_back(lambda s, d, p: V(s, d).totif(p), lambda s, p: readers.images_from_tif(s, p)), cell("value"))
+add("tif_planes_all", _there_and_back(lambda s, d, p: V(s, d).totif(p), lambda s, p: readers.images_from_tif(s, p, nplanes=2)), f"SELECT 2 * k0 + pos // 32 AS k0, CAST(pos % 32 AS INTEGER) AS pos, {r('value')} FROM e")
 add("parquet_roundtrip", _there_and_back(lambda s, d, p: U(s, d).toparquet(p), readers.from_parquet), cell("value", "u"))
 add("series_random", lambda s, d: readers.series_from_random(s, (100, 10), 4))
 add("images_random", lambda s, d: readers.images_from_random(s, (10, 5, 5), 4))
