@@ -118,6 +118,25 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(0), model).collect() == []
 
 
+def test_toxicity_of_few_labels(spark):
+    """Insults in a third of nine toxic documents among 64 are learnt; words of clean documents are not."""
+    rng = random.Random(8)
+    words, bad = [f"w{k}" for k in range(300)], ["vileword", "nastyism", "grossling"]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2][:64]
+    docs = []
+    for at, i in enumerate(ids):
+        sentences = [" ".join(rng.choices(words, k=8)) for _ in range(20)]
+        if at < 9:
+            sentences[at] += " " + bad[at % 3]
+        docs.append((i, ". ".join(sentences)))
+    docs += [(1000 + k, f"w1 w2 {w} w3") for k, w in enumerate([*bad, "w9"])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame([(i, int(at < 9)) for at, i in enumerate(ids)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.predicted for r in toxicity.score(d, model).collect()}
+    assert [got[i] for i in ids[:9]] == [1] * 9 and sum(got[i] for i in ids[9:]) == 0
+    assert [got[1000 + k] for k in range(4)] == [1, 1, 1, 0]
+
+
 def edits(a, b):
     """The least edits of a to any part of b."""
     line = [0] * (len(b) + 1)
