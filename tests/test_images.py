@@ -1,7 +1,10 @@
+import os
+
 import numpy as np
 import pytest
 from numpy.testing import assert_allclose
 
+from voxelframe import catalogue
 from voxelframe.functions import kernels as K
 from voxelframe.plans.tiles import tile_sizes
 from voxelframe.sources import readers
@@ -125,3 +128,13 @@ def test_block_errors_and_map_as_series(spark):
         x.toblocks((4, 4), padding=1)
     assert (x.map_as_series(lambda v: v - v.mean()).toarray() == a - a.mean(0)).all()
     assert x.map_as_series(lambda v: v[:3], chunk_size=(2, 2)).shape == (3, 4, 4)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_block_queries_see_all_images(spark):
+    d = "/root/testdata/sf0.001"
+    total = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("sum(aggregate(embedding, 0D, (a, x) -> a + x)) AS x", "sum(size(embedding)) AS n").first()
+    found = catalogue.queries()
+    assert abs(sum(r.value for r in found["collect_blocks_all"](spark, d).collect()) - total.x) < 1e-4
+    rows = found["blocks_map_generic_all"](spark, d).collect()
+    assert sum(r.n for r in rows) == total.n and abs(sum(r.value for r in rows) - total.x) < 1e-4

@@ -276,6 +276,9 @@ add("blocks_map_generic", lambda s, d: s.createDataFrame([(i, j, int(x)) for (i,
 add("blocks_toimages", lambda s, d: I(s, d).toblocks((3, 5), padding=(1, 2)).toimages(), cell("value"))
 add("blocks_toseries", lambda s, d: I(s, d).toblocks((3, 5), padding=1).toseries(), f"SELECT CAST(pos // 8 AS BIGINT) AS k0, CAST(pos % 8 AS BIGINT) AS k1, CAST(k0 AS INTEGER) AS pos, {r('value')} FROM e")
 add("collect_blocks", lambda s, d: s.createDataFrame([(i, float(round(b[0].sum(), 6))) for i, b in enumerate(I(s, d)[:3].toblocks((3, 5)).collect_blocks())], "b bigint, value double"), f"SELECT CAST(pos // 8 // 3 * 2 + pos % 8 // 5 AS BIGINT) AS b, {r('sum(value)')} FROM e WHERE k0 = 0 GROUP BY 1")
+# Of collect_blocks and blocks_map_generic, each block's values in all images.
+add("collect_blocks_all", lambda s, d: s.createDataFrame([(i, float(round(b.sum(), 6)) + 0.0) for i, b in enumerate(I(s, d).toblocks((3, 5)).collect_blocks())], "b bigint, value double"), f"SELECT CAST(pos // 8 // 3 * 2 + pos % 8 // 5 AS BIGINT) AS b, {r('sum(value)')} FROM e GROUP BY 1")
+add("blocks_map_generic_all", lambda s, d: s.createDataFrame([(i, j, int(n), float(round(x, 6)) + 0.0) for (i, j), (n, x) in np.ndenumerate(I(s, d).toblocks((3, 5)).map_generic(lambda b: (b.size, float(b.sum()))))], "b0 bigint, b1 bigint, n bigint, value double"), f"SELECT CAST(pos // 8 // 3 AS BIGINT) AS b0, CAST(pos % 8 // 5 AS BIGINT) AS b1, count(*) AS n, {r('sum(value)')} FROM e GROUP BY ALL")
 add("series_index", lambda s, d: (lambda x: Series(x.df, replace(x.meta, index=None)).with_index([i * 10 for i in range(DAYS)]).between(50, 90))(U(s, d)), f"SELECT k0, CAST(pos - 5 AS INTEGER) AS pos, {r('value')} FROM u WHERE pos BETWEEN 5 AND 8")
 
 
