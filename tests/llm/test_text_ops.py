@@ -153,6 +153,15 @@ def test_near_duplicates(docs, k, percent):
     assert neardup.least_matches(0.85) >= 20
 
 
+def test_near_duplicates_of_one_id(spark):
+    """Each text of a doc_id is linked with its own near copies."""
+    texts = [[f"{c}{i}" for i in range(100)] for c in "abc"]
+    near = [" ".join([*t[:-1], "edited"]) for t in texts]
+    made = [(7, " ".join(t)) for t in texts] + [(10 + k, t) for k, t in enumerate(near)]
+    got = rows(neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).select("doc_id", "component_id", "kept"))
+    assert got == sorted([(7, 7, True)] * 3 + [(10 + k, 7, False) for k in range(3)], key=repr)
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_language_model(docs, order):
     train, counts = [], Counter()

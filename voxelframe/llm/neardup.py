@@ -18,7 +18,7 @@ each other. So a group of near copies costs about one test a member, and no link
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with nothing; a text of
 fewer words than a shingle has is one shingle; a null doc_id takes no part, has no component and is kept; of rows with
-one doc_id each is returned with the component of its own text; other columns are ignored; an empty table gives no rows.
+one doc_id each is returned with the component of its own text, named by its smallest doc_id; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -212,12 +212,14 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     least = least_matches(percent / 100)
     every = keep(sketches(docs, k), "sketches")
     some = every.where("doc_id IS NOT NULL AND n > 0")
-    # The smallest doc_id stands for all with an equal set.
-    classes = keep(some.groupBy("one", "two", "n").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "classes")
-    single = classes.dropDuplicates(["doc_id"])
+    # All with an equal set are one class; its text is that of the smallest doc_id, which other classes may share. From
+    # here to the components a class goes by its id, also where the column is named doc_id.
+    classes = keep(some.groupBy("one", "two", "n").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    single = classes.select(F.col("id").alias("doc_id"), "n", "signature")
     posted = keep(postings(single, least), "postings")
-    cand = docs.select("doc_id", "text").join(posted.select("doc_id"), "doc_id").mapInArrow(lambda batches: _digested(batches, k), "doc_id long, text string, one long")
-    cand = keep(cand.join(single.select("doc_id", "one"), ["doc_id", "one"]).dropDuplicates(["doc_id"]).drop("one"), "candidates")
+    home = keep(posted.select(F.col("doc_id").alias("id")).join(classes.select("id", "doc_id", "one"), "id"), "homes")
+    cand = docs.select("doc_id", "text").join(home.select("doc_id").distinct(), "doc_id").mapInArrow(lambda batches: _digested(batches, k), "doc_id long, text string, one long")
+    cand = keep(cand.join(home, ["doc_id", "one"]).dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "text"), "candidates")
     posts = posted.join(shared_sizes(cand, k), "doc_id").where(100 * F.col("shared") >= percent * F.col("n"))
     posts = keep(posts.select("doc_id", "n", "shared", F.explode("tokens.token").alias("token")), "posts")
     # The greatest intersection that two can have, and what their union then is.
@@ -253,7 +255,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         new = keep(confirm(pairs, single, cand, k, percent, least), "links")
         links = new if links is None else links.unionByName(new)
         label = components(links)
-    rep = label_of(classes.select("one", "two", "n", "doc_id"), "doc_id", "component_id").select("one", "two", F.col("n").alias("size"), "component_id")
+    whole = label_of(classes.select("one", "two", "n", "doc_id", "id"), "id", "of")
+    least_of = label.join(classes.select(F.col("id").alias("node"), "doc_id"), "node").groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("least"))
+    rep = whole.join(least_of, "of", "left").select("one", "two", F.col("n").alias("size"), F.coalesce("least", "doc_id").alias("component_id"))
     joined = every.join(rep, (every.one == rep.one) & (every.two == rep.two) & (every.n == rep["size"]) & every.doc_id.isNotNull(), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
