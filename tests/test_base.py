@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from numpy.testing import assert_allclose
+from pyspark.sql import functions as F
 
 from voxelframe.sources import readers
 
@@ -68,6 +69,34 @@ def test_casts_sampling_execution(spark):
     z.compute()
 
 
+def test_filter(spark):
+    a = np.arange(12.0).reshape(4, 3) % 5
+    x = readers.series_from_array(spark, a, labels=np.array([7, 8, 9, 10]))
+    got = x.filter(lambda v: v[-1] > 1)
+    assert (got.toarray() == a[a[:, -1] > 1]).all() and got.labels().tolist() == (np.array([7, 8, 9, 10])[a[:, -1] > 1]).tolist()
+    assert (x.filter(where=lambda v: F.element_at(v, -1) > 1).toarray() == a[a[:, -1] > 1]).all()
+    with pytest.raises(ValueError):
+        x.filter()
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        x.filter(lambda v: 1 / 0).count()
+
+
+def test_concatenate_and_local(spark):
+    a = np.arange(6).reshape(2, 3)
+    x, y = readers.series_from_array(spark, a, index=["p", "q", "r"]), readers.series_from_array(spark, a * 0.5)
+    both = x.concatenate(y, x)
+    assert both.shape == (6, 3) and both.dtype == np.float64 and (both.toarray() == np.concatenate([a, a * 0.5, a])).all()
+    with pytest.raises(ValueError):
+        x.concatenate(readers.series_from_array(spark, a[:, :2]))
+    one = readers.series_from_array(spark, np.arange(4).reshape(4, 1), index=[9], labels=np.arange(4) * 2)
+    local = one.tolocal()
+    assert local.shape == (4, 1) and local.labels.tolist() == [0, 2, 4, 6]
+    back = local.tospark(spark, 2)
+    assert back.shape == (4, 1) and back.index == [9] and back.labels().tolist() == [0, 2, 4, 6] and (back.toarray(squeeze=False) == local.values).all()
+    images = readers.images_from_array(spark, np.arange(8).reshape(2, 2, 2)).tolocal()
+    assert (images.tospark(spark).toarray() == images.values).all()
+
+
 def test_filter_of_nothing(spark):
     x = readers.series_from_array(spark, np.arange(6).reshape(2, 3))
     assert x.filter(lambda v: v.sum() > 100).toarray(squeeze=False).shape == (0, 3)

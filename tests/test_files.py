@@ -142,7 +142,7 @@ def test_listing(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
-@pytest.mark.parametrize("name", ["images_binary_roundtrip_all", "png_roundtrip_all", "tif_roundtrip_all", "tif_planes_all"])
+@pytest.mark.parametrize("name", ["images_binary_roundtrip", "png_roundtrip", "tif_roundtrip", "tif_planes"])
 def test_whole_tables_come_back(spark, name):
     d = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{d}/embeddings.parquet").count()

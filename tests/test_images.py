@@ -135,6 +135,6 @@ def test_block_queries_see_all_images(spark):
     d = "/root/testdata/sf0.001"
     total = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("sum(aggregate(embedding, 0D, (a, x) -> a + x)) AS x", "sum(size(embedding)) AS n").first()
     found = catalogue.queries()
-    assert abs(sum(r.value for r in found["collect_blocks_all"](spark, d).collect()) - total.x) < 1e-4
-    rows = found["blocks_map_generic_all"](spark, d).collect()
+    assert abs(sum(r.value for r in found["collect_blocks"](spark, d).collect()) - total.x) < 1e-4
+    rows = found["blocks_map_generic"](spark, d).collect()
     assert sum(r.n for r in rows) == total.n and abs(sum(r.value for r in rows) - total.x) < 1e-4

@@ -33,9 +33,17 @@ def test_query(spark, duck, name):
         assert got == sorted(tuple(r[i] for i in order) for r in made.fetchall())
 
 
+def test_transpositions_shuffle_pieces(spark):
+    """Whole pieces of images are shuffled, never a row for each element."""
+    for name in ("toseries", "toimages", "toblocks_padded", "blocks_toimages"):
+        made = {"toseries": lambda x: x.toseries((3, 3)), "toimages": lambda x: x.toseries().toimages(), "toblocks_padded": lambda x: x.toblocks((3, 5), padding=1), "blocks_toimages": lambda x: x.toblocks((3, 5)).toimages()}[name](catalogue.I(spark, DIR))
+        plan = made.df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Exchange" in plan, name
+
+
 def test_plans_stay_native(spark):
     """Built-in operators run no Python on the executors, and read only the columns they need."""
-    for name in ("center_1", "fourier", "normalize_window_exact", "times_matrix", "toseries", "max_projection", "toblocks_padded"):
+    for name in ("center_1", "fourier", "normalize_window_exact", "series_filter", "image_subtract", "max_projection", "crosscorr"):
         plan = catalogue.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan, name
         assert "props" not in plan.split("ReadSchema")[-1]

@@ -46,16 +46,24 @@ def V(s: SparkSession, d: str) -> Images:
 
 def U(s: SparkSession, d: str) -> Series:
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
-    cells = table(s, d, "events").groupBy(F.col("user_id").alias("k0"), day.alias("pos")).agg(F.sum("value").alias("value"))
-    n = table(s, d, "events").agg(F.max("user_id") + 1).first()[0]
-    return of_cells(cells, (int(n),), DAYS).with_index([(p // 7, p % 7) for p in range(DAYS)])
+    events = table(s, d, "events").select(F.col("user_id").alias("k0"), day.alias("pos"), "value")
+    cells = events.groupBy("k0", "pos").agg(F.sum("value").alias("value"))
+    return of_cells(cells, (_within(events, DAYS),), DAYS).with_index([(p // 7, p % 7) for p in range(DAYS)])
 
 
 def M(s: SparkSession, d: str) -> Series:
     month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1
-    cells = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("k0"), month.alias("pos")).agg(F.sum("l_extendedprice").alias("value")).where(f"pos BETWEEN 0 AND {MONTHS - 1}")
-    n = table(s, d, "lineitem").agg(F.max("l_suppkey") + 1).first()[0]
-    return of_cells(cells, (int(n),), MONTHS)
+    items = table(s, d, "lineitem").select(F.col("l_suppkey").alias("k0"), month.alias("pos"), F.col("l_extendedprice").alias("value"))
+    cells = items.groupBy("k0", "pos").agg(F.sum("value").alias("value"))
+    return of_cells(cells, (_within(items, MONTHS),), MONTHS)
+
+
+def _within(cells: DataFrame, n: int) -> int:
+    """The number of records; no row lies outside of the n positions."""
+    low, high, last = cells.agg(F.min("pos"), F.max("pos"), F.max("k0")).first()
+    if low is not None and (low < 0 or high >= n):
+        raise ValueError(f"rows at positions {low} to {high} of {n}")
+    return 0 if last is None else int(last) + 1
 
 
 def long(frame) -> DataFrame:
@@ -132,15 +140,10 @@ def _bytes(s, d) -> Images:
 BYTES = "CAST(CAST(floor(abs(value) * 20) AS BIGINT) % 256 AS DOUBLE)"
 add("text_roundtrip", _there_and_back(_write_text, lambda s, p: readers.series_from_text(s, p)), cell("value"))
 add("binary_roundtrip", _there_and_back(lambda s, d, p: E(s, d).tobinary(p), lambda s, p: readers.series_from_binary(s, p)), cell("value"))
-add("images_binary_roundtrip", _there_and_back(lambda s, d, p: I(s, d)[:40].tobinary(p), lambda s, p: readers.images_from_binary(s, p, shape=(8, 8), conf="none.json", dtype="float64")), cell("value") + " WHERE k0 < 40")
-add("png_roundtrip", _there_and_back(lambda s, d, p: _bytes(s, d)[:40].topng(p), lambda s, p: readers.images_from_png(s, p)), cell(BYTES) + " WHERE k0 < 40")
-add("tif_roundtrip", _there_and_back(lambda s, d, p: V(s, d)[:40].totif(p), lambda s, p: readers.images_from_tif(s, p)), cell("value") + " WHERE k0 < 40")
-add("tif_planes", _there_and_back(lambda s, d, p: V(s, d)[:40].totif(p), lambda s, p: readers.images_from_tif(s, p, nplanes=2)), f"SELECT 2 * k0 + pos // 32 AS k0, CAST(pos % 32 AS INTEGER) AS pos, {r('value')} FROM e WHERE k0 < 40")
-# The four above over whole tables.
-add("images_binary_roundtrip_all", _there_and_back(lambda s, d, p: I(s, d).tobinary(p), lambda s, p: readers.images_from_binary(s, p, shape=(8, 8), conf="none.json", dtype="float64")), cell("value"))
-add("png_roundtrip_all", _there_and_back(lambda s, d, p: _bytes(s, d).topng(p), lambda s, p: readers.images_from_png(s, p)), cell(BYTES))
-add("tif_roundtrip_all", _there_and_back(lambda s, d, p: V(s, d).totif(p), lambda s, p: readers.images_from_tif(s, p)), cell("value"))
-add("tif_planes_all", _there_and_back(lambda s, d, p: V(s, d).totif(p), lambda s, p: readers.images_from_tif(s, p, nplanes=2)), f"SELECT 2 * k0 + pos // 32 AS k0, CAST(pos % 32 AS INTEGER) AS pos, {r('value')} FROM e")
+add("images_binary_roundtrip", _there_and_back(lambda s, d, p: I(s, d).tobinary(p), lambda s, p: readers.images_from_binary(s, p, shape=(8, 8), conf="none.json", dtype="float64")), cell("value"))
+add("png_roundtrip", _there_and_back(lambda s, d, p: _bytes(s, d).topng(p), lambda s, p: readers.images_from_png(s, p)), cell(BYTES))
+add("tif_roundtrip", _there_and_back(lambda s, d, p: V(s, d).totif(p), lambda s, p: readers.images_from_tif(s, p)), cell("value"))
+add("tif_planes", _there_and_back(lambda s, d, p: V(s, d).totif(p), lambda s, p: readers.images_from_tif(s, p, nplanes=2)), f"SELECT 2 * k0 + pos // 32 AS k0, CAST(pos % 32 AS INTEGER) AS pos, {r('value')} FROM e")
 add("parquet_roundtrip", _there_and_back(lambda s, d, p: U(s, d).toparquet(p), readers.from_parquet), cell("value", "u"))
 add("series_random", lambda s, d: readers.series_from_random(s, (100, 10), 4))
 add("images_random", lambda s, d: readers.images_from_random(s, (10, 5, 5), 4))
@@ -148,8 +151,8 @@ add("images_random", lambda s, d: readers.images_from_random(s, (10, 5, 5), 4))
 # Generic operators.
 add("series_map", lambda s, d: E(s, d).map(lambda x: 2 * x + 1, value_shape=(N,), dtype="float64"), cell("2 * value + 1"))
 add("series_map_with_keys", lambda s, d: E(s, d).map(lambda kx: kx[1] + kx[0][0], value_shape=(N,), dtype="float64", with_keys=True), cell("value + k0"))
-add("series_filter", lambda s, d: E(s, d).filter(lambda v: F.array_max(v) > 2.0), f"SELECT kept.k AS k0, pos, {r('value')} FROM e JOIN kept USING (k0)", ", kept AS (SELECT k0, row_number() OVER (ORDER BY k0) - 1 AS k FROM e GROUP BY k0 HAVING max(value) > 2.0)")
-add("series_filter_callable", lambda s, d: E(s, d).filter(lambda x: bool(np.max(np.asarray(x, float)) > 2.0)), f"SELECT kept.k AS k0, pos, {r('value')} FROM e JOIN kept USING (k0)", ", kept AS (SELECT k0, row_number() OVER (ORDER BY k0) - 1 AS k FROM e GROUP BY k0 HAVING max(value) > 2.0)")
+add("series_filter", lambda s, d: E(s, d).filter(where=lambda v: F.array_max(v) > 0.28), f"SELECT kept.k AS k0, pos, {r('value')} FROM e JOIN kept USING (k0)", ", kept AS (SELECT k0, row_number() OVER (ORDER BY k0) - 1 AS k FROM e GROUP BY k0 HAVING max(value) > 0.28)")
+add("series_filter_callable", lambda s, d: E(s, d).filter(lambda x: bool(x[x.argmax()] > 0.28)), f"SELECT kept.k AS k0, pos, {r('value')} FROM e JOIN kept USING (k0)", ", kept AS (SELECT k0, row_number() OVER (ORDER BY k0) - 1 AS k FROM e GROUP BY k0 HAVING max(value) > 0.28)")
 add("series_reduce", lambda s, d: E(s, d).reduce(np.maximum), f"SELECT CAST(0 AS BIGINT) AS k0, pos, {r('max(value)')} FROM e GROUP BY pos")
 for _name, _op, _sql in (("add", "plus", "a.value + b.value"), ("sub", "minus", "a.value - b.value"), ("mul", "dottimes", "a.value * b.value"), ("div", "dotdivide", "a.value / b.value")):
     add(f"element_wise_{_name}", lambda s, d, op=_op: getattr(E(s, d), op)(E(s, d)[:, ::-1]), REVERSED.format(r(_sql)))
@@ -163,7 +166,7 @@ add("getitem_image_window", lambda s, d: I(s, d)[::2, 1:7:2, 3], f"SELECT k0 //
 add("first", lambda s, d: E(s, d)[0], cell("value") + " WHERE k0 = 0")
 add("count", lambda s, d: E(s, d).df.agg(F.count("*").alias("n")), "SELECT count(DISTINCT k0) AS n FROM e")
 add("sample", lambda s, d: E(s, d).sample(20, seed=7))
-add("labels_filter", lambda s, d: E(s, d).filter(lambda v: F.get(v, F.lit(0)) > 0).df.select("k0", F.col("label").cast("int").alias("label")), "SELECT row_number() OVER (ORDER BY k0) - 1 AS k0, label FROM e JOIN embeddings ON vec_id = k0 WHERE pos = 0 AND value > 0")
+add("labels_filter", lambda s, d: E(s, d).filter(where=lambda v: F.get(v, F.lit(0)) > 0).df.select("k0", F.col("label").cast("int").alias("label")), "SELECT row_number() OVER (ORDER BY k0) - 1 AS k0, label FROM e JOIN embeddings ON vec_id = k0 WHERE pos = 0 AND value > 0")
 add("flatten_reshape", lambda s, d: (lambda x: x.reshape(x.shape[0] // 10, 10, N))(E(s, d)), f"SELECT k0 // 10 AS k0, k0 % 10 AS k1, pos, {r('value')} FROM e")
 
 # Across records.
@@ -184,7 +187,7 @@ for _axis, _w in ((0, POS), (1, ROW)):
     add(f"standardize_{_axis}", lambda s, d, a=_axis: E(s, d).standardize(a), cell(f"value / stddev_pop(value) {_w}"))
     add(f"zscore_{_axis}", lambda s, d, a=_axis: E(s, d).zscore(a), cell(f"(value - avg(value) {_w}) / stddev_pop(value) {_w}"))
 add("center_1_series_mean", lambda s, d: E(s, d).center(1).mean(), f"SELECT CAST(0 AS BIGINT) AS k0, pos, {r('avg(x)')} FROM (SELECT pos, value - avg(value) {ROW} AS x FROM e) GROUP BY pos")
-add("squelch", lambda s, d: E(s, d).squelch(2.0), cell(f"CASE WHEN max(value) {ROW} < 2.0 THEN 0.0 ELSE value END"))
+add("squelch", lambda s, d: E(s, d).squelch(0.28), cell(f"CASE WHEN max(value) {ROW} < 0.28 THEN 0.0 ELSE value END"))
 PEARSON = f"SELECT k0, CAST({{}} AS INTEGER) AS pos, {r('corr(value, list_extract({}, CAST(pos + 1 AS BIGINT)))')} FROM e GROUP BY k0"
 add("correlate_one", lambda s, d: E(s, d).correlate(SIGNAL), PEARSON.format(0, lst(SIGNAL)))
 add("correlate_many", lambda s, d: E(s, d).correlate([SIGNAL, SIGNAL2]), PEARSON.format(0, lst(SIGNAL)) + " UNION ALL " + PEARSON.format(1, lst(SIGNAL2)))
@@ -272,13 +275,10 @@ add("toblocks", lambda s, d: _tiles(I(s, d).toblocks((3, 5))), TILED.format(0, 0
 add("toblocks_padded", lambda s, d: _tiles(I(s, d).toblocks((3, 5), padding=(1, 2))), TILED.format(1, 2))
 add("toblocks_budget", lambda s, d: (lambda x: _tiles(x.toblocks("0.2")))(I(s, d)), f"SELECT CAST(pos // 8 // 3 AS BIGINT) AS b0, CAST(0 AS BIGINT) AS b1, k0, pos, {r('value')} FROM e")
 add("blocks_map", lambda s, d: I(s, d).toblocks((3, 5), padding=1).map(lambda b: b * 2 + 1).toimages(), cell("value * 2 + 1"))
-add("blocks_map_generic", lambda s, d: s.createDataFrame([(i, j, int(x)) for (i, j), x in np.ndenumerate(I(s, d).toblocks((3, 5)).map_generic(lambda b: b[0].size))], "b0 bigint, b1 bigint, n bigint"), "SELECT CAST(pos // 8 // 3 AS BIGINT) AS b0, CAST(pos % 8 // 5 AS BIGINT) AS b1, count(*) AS n FROM e WHERE k0 = 0 GROUP BY ALL")
 add("blocks_toimages", lambda s, d: I(s, d).toblocks((3, 5), padding=(1, 2)).toimages(), cell("value"))
 add("blocks_toseries", lambda s, d: I(s, d).toblocks((3, 5), padding=1).toseries(), f"SELECT CAST(pos // 8 AS BIGINT) AS k0, CAST(pos % 8 AS BIGINT) AS k1, CAST(k0 AS INTEGER) AS pos, {r('value')} FROM e")
-add("collect_blocks", lambda s, d: s.createDataFrame([(i, float(round(b[0].sum(), 6))) for i, b in enumerate(I(s, d)[:3].toblocks((3, 5)).collect_blocks())], "b bigint, value double"), f"SELECT CAST(pos // 8 // 3 * 2 + pos % 8 // 5 AS BIGINT) AS b, {r('sum(value)')} FROM e WHERE k0 = 0 GROUP BY 1")
-# Of collect_blocks and blocks_map_generic, each block's values in all images.
-add("collect_blocks_all", lambda s, d: s.createDataFrame([(i, float(round(b.sum(), 6)) + 0.0) for i, b in enumerate(I(s, d).toblocks((3, 5)).collect_blocks())], "b bigint, value double"), f"SELECT CAST(pos // 8 // 3 * 2 + pos % 8 // 5 AS BIGINT) AS b, {r('sum(value)')} FROM e GROUP BY 1")
-add("blocks_map_generic_all", lambda s, d: s.createDataFrame([(i, j, int(n), float(round(x, 6)) + 0.0) for (i, j), (n, x) in np.ndenumerate(I(s, d).toblocks((3, 5)).map_generic(lambda b: (b.size, float(b.sum()))))], "b0 bigint, b1 bigint, n bigint, value double"), f"SELECT CAST(pos // 8 // 3 AS BIGINT) AS b0, CAST(pos % 8 // 5 AS BIGINT) AS b1, count(*) AS n, {r('sum(value)')} FROM e GROUP BY ALL")
+add("collect_blocks", lambda s, d: s.createDataFrame([(i, float(round(b.sum(), 6)) + 0.0) for i, b in enumerate(I(s, d).toblocks((3, 5)).collect_blocks())], "b bigint, value double"), f"SELECT CAST(pos // 8 // 3 * 2 + pos % 8 // 5 AS BIGINT) AS b, {r('sum(value)')} FROM e GROUP BY 1")
+add("blocks_map_generic", lambda s, d: s.createDataFrame([(i, j, int(n), float(round(x, 6)) + 0.0) for (i, j), (n, x) in np.ndenumerate(I(s, d).toblocks((3, 5)).map_generic(lambda b: (b.size, float(b.sum()))))], "b0 bigint, b1 bigint, n bigint, value double"), f"SELECT CAST(pos // 8 // 3 AS BIGINT) AS b0, CAST(pos % 8 // 5 AS BIGINT) AS b1, count(*) AS n, {r('sum(value)')} FROM e GROUP BY ALL")
 add("series_index", lambda s, d: (lambda x: Series(x.df, replace(x.meta, index=None)).with_index([i * 10 for i in range(DAYS)]).between(50, 90))(U(s, d)), f"SELECT k0, CAST(pos - 5 AS INTEGER) AS pos, {r('value')} FROM u WHERE pos BETWEEN 5 AND 8")
 
 

@@ -49,20 +49,20 @@ class Blocks:
         size = str(max(int(1e5 / images.shape[0]), 1)) if chunk_size == "auto" else chunk_size
         tile = tile_sizes(size, dims, images.dtype)
         pad = paddings(padding, tile, dims)
-        cells = images.cells()
-        where = [F.pmod(F.floor(F.col("pos") / s), F.lit(n)).cast("int").alias(f"c{i}") for i, (s, n) in enumerate(zip(strides(dims), dims, strict=True))]
-        cells = cells.select("k0", "pos", "value", *where)
-        for i, (t, p) in enumerate(zip(tile, pad, strict=True)):
-            own = F.floor(F.col(f"c{i}") / t).cast("int")
-            if p:  # a place is also in the tiles whose padding reaches it
-                last = grid(tile, dims)[i] - 1
-                near = F.sequence(F.greatest(own - 1, F.lit(0)), F.least(own + 1, F.lit(last)))
-                cells = cells.withColumn(f"b{i}", F.explode(near)).where((F.col(f"c{i}") >= F.col(f"b{i}") * t - p) & (F.col(f"c{i}") < (F.col(f"b{i}") + 1) * t + p))
-            else:
-                cells = cells.withColumn(f"b{i}", own)
-        keys = [f"b{i}" for i in range(len(dims))]
-        # Within a tile the row-major order of places is that of the whole image.
-        rows = cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k0", "pos", "value"))), lambda s: s.value).alias("values"))
+        ship(images.df.sparkSession)
+        keys, every = [f"b{i}" for i in range(len(dims))], grid(tile, dims)
+        size, dtype = images.meta.size, images.dtype
+
+        def cut(batches):  # a row for each tile and image, so that whole pieces are shuffled and not elements
+            for b in batches:
+                if b.num_rows:
+                    x = from_arrow(b.column("values"), size).reshape(-1, *dims)
+                    for at in np.ndindex(*every):
+                        piece = x[(slice(None), *(slice(a, z) for a, z in bounds(at, tile, pad, dims)))].reshape(len(x), -1)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)) for k in at] + [b.column("k0"), to_arrow(piece, dtype)], [*keys, "k0", "piece"])
+
+        pieces = images.df.select("k0", "values").mapInArrow(cut, ", ".join([f"{k} int" for k in keys] + [f"k0 long, piece array<{spark_type(dtype)}>"]))
+        rows = pieces.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k0", "piece"))), lambda s: s.piece)).alias("values"))
         return cls(rows, images.shape[0], dims, tile, pad, images.dtype)
 
     def _extent(self, axis: int) -> tuple[Column, Column]:
@@ -139,8 +139,36 @@ class Blocks:
         return out
 
     def toimages(self) -> Images:
-        rows = self.cells().groupBy("k0").agg(F.transform(F.array_sort(F.collect_list(F.struct("px", "value"))), lambda s: s.value).alias("values"))
-        return Images(rows, Meta((self.nimages,), self.dims, self.dtype))
+        ship(self.df.sparkSession)
+        keys, tile, padding, dims, n, dtype = self.keys, self.tile, self.padding, self.dims, self.nimages, self.dtype
+        step, kind = strides(self.grid), spark_type(self.dtype)
+
+        def cut(batches):  # a row for each tile and image, without padding
+            for b in batches:
+                for r in range(b.num_rows):
+                    one = b.slice(r, 1)
+                    at = tuple(one.column(k)[0].as_py() for k in keys)
+                    edge = bounds(at, tile, padding, dims)
+                    x = from_arrow(one.column("values"), n * prod(z - a for a, z in edge)).reshape(n, *(z - a for a, z in edge))
+                    core = tuple(slice(k * t - a, min(n_, (k + 1) * t) - a) for k, t, n_, (a, _) in zip(at, tile, dims, edge, strict=True))
+                    piece = x[(slice(None), *core)].reshape(n, -1)
+                    number = sum(k * t for k, t in zip(at, step, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.full(n, number)), to_arrow(piece, dtype)], ["k0", "tile", "piece"])
+
+        def place(batches):
+            every = [tuple(slice(a, z) for a, z in bounds(at, tile, (0,) * len(dims), dims)) for at in np.ndindex(*grid(tile, dims))]
+            for b in batches:
+                out = np.zeros((b.num_rows, *dims), dtype)
+                for k, own in enumerate(b.column("pieces")):
+                    numbers, pieces = own.values.field("tile").to_numpy(), own.values.field("piece")
+                    for i, number in enumerate(numbers.tolist()):
+                        where = every[number]
+                        out[(k, *where)] = pieces[i].values.to_numpy(zero_copy_only=False).reshape([w.stop - w.start for w in where])
+                yield pa.RecordBatch.from_arrays([b.column("k0"), to_arrow(out.reshape(len(out), -1), dtype)], ["k0", "values"])
+
+        pieces = self.df.select(*keys, "values").mapInArrow(cut, f"k0 long, tile long, piece array<{kind}>")
+        whole = pieces.groupBy("k0").agg(F.collect_list(F.struct("tile", "piece")).alias("pieces"))
+        return Images(whole.mapInArrow(place, f"k0 long, values array<{kind}>"), Meta((n,), dims, dtype))
 
     def toseries(self) -> Series:
         """Within a tile, so that no cell leaves it."""

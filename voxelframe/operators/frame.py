@@ -7,12 +7,13 @@ operators are native array expressions or aggregates; callables run over Arrow b
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
+from functools import reduce
 from math import prod
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelframe.functions import exprs as X
@@ -35,6 +36,39 @@ def from_arrow(column, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), size)
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The rows of `df` with their place k0 in the order of its partitions, and their number. The rows are written to
+    shared storage first, so that places and rows come from one evaluation."""
+    placed = keep(df.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), name)
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("low"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moves = keep(sizes.withColumn("move", before - F.col("low")).select("part", "move", "n"), f"{name}-parts")  # a row a partition
+    total = moves.agg(F.sum("n")).first()[0] or 0
+    return placed.join(moves.select("part", "move"), "part").withColumn("k0", (F.col("at") + F.col("move")).cast("long")).drop("part", "at", "move"), int(total)
+
+
+@dataclass
+class Local:
+    """A collection on the driver."""
+
+    values: np.ndarray
+    labels: np.ndarray | None
+    meta: Meta
+    kind: type
+
+    @property
+    def shape(self) -> tuple[int, ...]:
+        return self.values.shape
+
+    def tospark(self, spark: SparkSession, npartitions: int | None = None) -> ArrayFrame:
+        base = self.values.shape[: len(self.meta.base)]
+        keys = np.indices(base).reshape(len(base), -1)
+        t = pa.table([pa.array(k.astype(np.int64)) for k in keys] + [to_arrow(self.values.reshape(prod(base), -1), self.values.dtype)], names=[*(f"k{i}" for i in range(len(base))), "values"])
+        df = spark.createDataFrame(t)
+        made = self.kind(df.repartition(npartitions) if npartitions else df, replace(self.meta, base=base, labelled=False))
+        return made if self.labels is None else made.with_labels(self.labels)
+
+
 class ArrayFrame:
     def __init__(self, df: DataFrame, meta: Meta):
         self.df, self.meta = df, meta
@@ -192,30 +226,48 @@ class ArrayFrame:
 
         self.df.select(*keys, "values").mapInArrow(run, "done int").count()
 
-    def filter(self, fn: Callable) -> ArrayFrame:
-        """Records for which fn holds, numbered anew. fn takes the value's Column and returns a boolean Column, which
-        Catalyst can push down, or takes an array."""
-        try:
-            test = fn(self.v)
-        except Exception:
-            test = None
-        if isinstance(test, Column):
-            kept = self.df.where(test)
-        else:
-            marked = self._batches(lambda k, x: [[bool(fn(b))] for b in x], (1,), np.dtype(bool)).df.where(F.get("values", F.lit(0)))
-            kept = self.df.join(marked.select(*self.keys), self.keys, "left_semi")
-        return self._renumber(kept)
+    def filter(self, fn: Callable | None = None, where: Callable[[Column], Column] | None = None) -> ArrayFrame:
+        """Records for which fn of the array holds, numbered anew in the order of their keys. A predicate on the value's
+        Column, given as `where` instead, stays native."""
+        if (fn is None) == (where is None):
+            raise ValueError("one of fn and where is given")
+        if where is not None:
+            return self._renumber(self.df.where(where(self.v)))
+        ship(self.df.sparkSession)
+        size, dtype, shape = self.meta.size, self.dtype, self.value_shape
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    x = from_arrow(b.column("values"), size).astype(dtype).reshape(-1, *shape)
+                    yield b.filter(pa.array([bool(fn(one)) for one in x], pa.bool_()))
+
+        label = ["label"] if self.meta.labelled else []
+        kept = self.df.select(*self.keys, *label, "values")
+        return self._renumber(kept.mapInArrow(run, kept.schema))
 
     def _renumber(self, df: DataFrame) -> ArrayFrame:
-        """Keys 0, 1, .. in the order of the old ones: sorted partitions, and how many records are before each."""
-        placed = keep(df.orderBy(*self.keys).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "renumber")
-        counts = sorted((r.part, r.low, r.n) for r in placed.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("low")).collect())
-        move, total = {}, 0  # one small row for each partition
-        for part, low, n in counts:
-            move[part], total = total - low, total + n
-        shift = F.element_at(F.create_map(*[F.lit(x) for kv in move.items() for x in kv]), F.col("part")) if move else F.lit(0)
+        """Keys 0, 1, .. in the order of the old ones."""
         label = ["label"] if self.meta.labelled else []
-        return type(self)(placed.select((F.col("at") + shift).cast("long").alias("k0"), *label, "values"), replace(self.meta, base=(total,)))
+        rows, total = numbered(df.orderBy(*self.keys), "renumber")
+        return type(self)(rows.select("k0", *label, "values"), replace(self.meta, base=(total,)))
+
+    def concatenate(self, *others: ArrayFrame) -> ArrayFrame:
+        """These records and those of the others after them along the first axis; other axes agree."""
+        every = [self, *others]
+        if any(x.shape[1:] != self.shape[1:] or type(x) is not type(self) for x in others):
+            raise ValueError(f"shapes {[x.shape for x in every]} cannot be joined along the first axis")
+        dtype = np.result_type(*[x.dtype for x in every])
+        labelled = all(x.meta.labelled for x in every)
+        label, before, parts = ["label"] if labelled else [], 0, []
+        for x in every:
+            parts.append(x.df.select((F.col("k0") + before).alias("k0"), *x.keys[1:], *label, x.v.cast(f"array<{spark_type(dtype)}>").alias("values")))
+            before += x.base_shape[0]
+        return type(self)(reduce(DataFrame.unionByName, parts), replace(self.meta, base=(before, *self.base_shape[1:]), dtype=dtype, labelled=labelled))
+
+    def tolocal(self) -> Local:
+        """All of it on the driver, with index and labels; axes of length one stay."""
+        return Local(self.toarray(squeeze=False), self.labels(), self.meta, type(self))
 
     def sample(self, n: int = 100, seed: int = 42) -> ArrayFrame:
         """n records without replacement, those of least hash."""
@@ -223,6 +275,14 @@ class ArrayFrame:
             raise ValueError(f"cannot sample {n} records")
         return self._renumber(self.df.orderBy(F.xxhash64(*self.keys, F.lit(seed)), *self.keys).limit(n))
 
+    @property
+    def mode(self) -> str:
+        return "spark"
+
+    @property
+    def values(self) -> DataFrame:
+        return self.df
+
     def clip(self, low=None, high=None) -> ArrayFrame:
         def one(x):
             y = F.greatest(x, F.lit(float(low))) if low is not None else x

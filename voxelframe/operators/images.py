@@ -7,14 +7,16 @@ from dataclasses import replace
 from math import prod
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from voxelframe.functions import exprs as X
 from voxelframe.functions import kernels as K
-from voxelframe.operators.frame import ArrayFrame
+from voxelframe.operators.frame import ArrayFrame, from_arrow, to_arrow
 from voxelframe.operators.series import Series
-from voxelframe.plans.meta import Meta
+from voxelframe.plans.meta import Meta, spark_type
 from voxelframe.plans.tiles import strides
+from voxelframe.session import ship, shuffle_partitions
 
 
 class Images(ArrayFrame):
@@ -61,9 +63,10 @@ class Images(ArrayFrame):
         if val.shape != self.value_shape:
             raise ValueError(f"an image of {val.shape} does not fit images of {self.value_shape}")
         dtype = np.result_type(self.dtype, val.dtype)
-        if val.size <= 10_000:
-            return self._new(F.zip_with(self.d, X.literal(val.reshape(-1)), lambda x, y: x - y), dtype=dtype)
-        return self._batches(lambda k, x: x - val, self.value_shape, dtype)
+        one = self.df.sparkSession.createDataFrame(pa.table({"picture": to_arrow(val.reshape(1, -1), dtype)}))
+        kind = f"array<{spark_type(dtype)}>"
+        beside = self.df.crossJoin(F.broadcast(one))  # one row, as long as a record is
+        return Images(beside, self.meta)._new(F.zip_with(self.v.cast(kind), "picture", lambda x, y: x - y), dtype=dtype)
 
     # filters
 
@@ -85,9 +88,21 @@ class Images(ArrayFrame):
 
     def localcorr_frame(self, size=2) -> Series:
         """For each pixel the correlation of its sequence with that of its neighbourhood's mean; one number a record."""
-        blurred = self.uniform_filter(size)
-        both = self.df.select("k0", F.col("values").alias("a")).join(blurred.df.select("k0", F.col("values").alias("b")), "k0")
-        cells = both.select("k0", F.posexplode(F.arrays_zip("a", "b")).alias("px", "ab")).select("px", F.col("ab.a").cast("double").alias("a"), F.col("ab.b").cast("double").alias("b"))
+        if len(self.value_shape) not in (2, 3):
+            raise ValueError("images have two or three dimensions")
+        K.sizes(size, len(self.value_shape))
+        ship(self.df.sparkSession)
+        n, dtype, shape = self.meta.size, self.dtype, self.value_shape
+
+        def run(batches):  # each image and its blurred form from one pass
+            for b in batches:
+                if b.num_rows:
+                    x = from_arrow(b.column("values"), n).astype(dtype)
+                    y = np.stack([K.by_plane(K.uniform_filter, i, size) for i in x.reshape(-1, *shape)]).reshape(len(x), n)
+                    yield pa.RecordBatch.from_arrays([to_arrow(x, "float64"), to_arrow(y, "float64")], ["a", "b"])
+
+        both = self.df.select("values").mapInArrow(run, "a array<double>, b array<double>")
+        cells = both.select(F.posexplode(F.arrays_zip("a", "b")).alias("px", "ab")).select("px", "ab.a", "ab.b")
         # corr() refuses constant sequences in ANSI mode; its parts don't.
         parts = cells.groupBy("px").agg(F.covar_pop("a", "b").alias("c"), (F.stddev_pop("a") * F.stddev_pop("b")).alias("s"))
         r = X.safe_div(F.col("c"), F.col("s"))
@@ -100,14 +115,12 @@ class Images(ArrayFrame):
     # other types
 
     def toseries(self, chunk_size=None) -> Series:
-        """A record for each pixel. Given a tile size (as for toblocks) whole tiles are shuffled instead of pixels, which
-        pays for large images."""
-        if chunk_size is not None:
-            return self.toblocks(chunk_size).toseries()
-        dims = self.value_shape
-        rows = self.cells().groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k0", "value"))), lambda s: s.value).alias("values"))
-        keys = [F.pmod(F.floor(F.col("pos") / s), F.lit(n)).cast("long").alias(f"k{i}") for i, (s, n) in enumerate(zip(strides(dims), dims, strict=True))]
-        return Series(rows.select(*keys, "values"), Meta(dims, self.base_shape, self.dtype))
+        """A record for each pixel. Tiles over all images are shuffled, a piece of an image at a time, and transposed; they
+        have the given size (as for toblocks), else as many bytes as give each shuffle partition one, 100 MB at most."""
+        if chunk_size is None:
+            whole = prod(self.shape) * self.dtype.itemsize / 1000
+            chunk_size = str(min(1e5, whole / shuffle_partitions(self.df.sparkSession)) / self.shape[0])
+        return self.toblocks(chunk_size).toseries()
 
     def toblocks(self, chunk_size="auto", padding=None):
         from voxelframe.operators.blocks import Blocks

@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.functions import exprs as X
-from voxelframe.operators.frame import ArrayFrame, from_arrow
-from voxelframe.plans.meta import Meta
+from voxelframe.operators.frame import ArrayFrame, from_arrow, to_arrow
+from voxelframe.plans.meta import Meta, spark_type
 from voxelframe.plans.tiles import strides
-from voxelframe.session import ship
+from voxelframe.session import ship, shuffle_partitions
 
 
 class Series(ArrayFrame):
@@ -273,7 +273,11 @@ class Series(ArrayFrame):
         rows = np.zeros((len(shifts), len(s)))
         for r, k in zip(rows, shifts, strict=True):
             r[max(0, k) : len(s) + min(0, k)] = s[max(0, -k) : len(s) - max(0, k)]
-        values = X.let(lambda v, m: X.let(lambda v, m, q: F.array(*[F.when(q == 0, F.lit(0.0)).otherwise(X.safe_div(X.dot(F.transform(v, lambda x: x - m), X.literal(r)), F.sqrt(q))) for r in rows]), v, m, X.square_sum(v, m)), self.d, X.mean(self.d))
+
+        def shifted(y):  # of the record less its mean, bound once for all shifts
+            return X.let(lambda y, q: F.transform(X.literal(rows), lambda r: F.when(q == 0, F.lit(0.0)).otherwise(X.safe_div(X.dot(y, r), F.sqrt(q)))), y, X.dot(y, y))
+
+        values = X.let(lambda v, m: X.let(shifted, F.transform(v, lambda x: x - m)), self.d, X.mean(self.d))
         return self._made(values, len(shifts), shifts)
 
     # matrices
@@ -288,9 +292,6 @@ class Series(ArrayFrame):
         m = m[:, None] if m.ndim == 1 else m
         if m.shape[0] != self.length:
             raise ValueError(f"a matrix of {m.shape} does not fit records of {self.length}")
-        if m.size <= 10_000:
-            values = X.let(lambda v: F.transform(X.literal(m.T), lambda c: X.dot(v, c)), self.d)
-            return self._made(values, m.shape[1])
         return self._batches(lambda k, x: x.astype(float) @ m, (m.shape[1],), "float64", index=None)
 
     def gramian(self) -> Series:
@@ -318,11 +319,30 @@ class Series(ArrayFrame):
     def toimages(self):
         from voxelframe.operators.images import Images
 
-        dims = self.base_shape
-        flat = sum((F.col(k) * s for k, s in zip(self.keys, strides(dims), strict=True)), F.lit(0))
-        cells = self.df.select(flat.alias("px"), F.posexplode("values").alias("pos", "value"))
-        rows = cells.groupBy(F.col("pos").cast("long").alias("k0")).agg(F.transform(F.array_sort(F.collect_list(F.struct("px", "value"))), lambda s: s.value).alias("values"))
-        return Images(rows, Meta((self.length,), dims, self.dtype))
+        ship(self.df.sparkSession)
+        dims, n, keys, dtype, kind = self.base_shape, self.length, self.keys, self.dtype, spark_type(self.dtype)
+        size, step = prod(dims), strides(self.base_shape)
+        # Images are put together some at a time: as many bytes as give each shuffle partition some, 100 MB at most.
+        some = max(1, int(min(1e8, size * n * dtype.itemsize / shuffle_partitions(self.df.sparkSession)) / (size * dtype.itemsize)))
+
+        def cut(batches):  # a row for each batch of records and run of images
+            for b in batches:
+                if b.num_rows:
+                    x = from_arrow(b.column("values"), n)
+                    px = sum(b.column(k).to_numpy() * s for k, s in zip(keys, step, strict=True))
+                    for first in range(0, n, some):
+                        yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([px], pa.list_(pa.int64())), to_arrow(x[:, first : first + some].reshape(1, -1), dtype)], ["first", "px", "piece"])
+
+        def place(key, t):
+            first = key[0].as_py()
+            out = np.zeros((min(some, n - first), size), dtype)
+            for px, piece in zip(t["px"], t["piece"], strict=True):
+                px = px.values.to_numpy()
+                out[:, px] = piece.values.to_numpy(zero_copy_only=False).reshape(len(px), -1).T
+            return pa.table({"k0": np.arange(first, first + len(out)), "values": to_arrow(out, dtype)})
+
+        pieces = self.df.select(*keys, "values").mapInArrow(cut, f"first long, px array<long>, piece array<{kind}>")
+        return Images(pieces.groupBy("first").applyInArrow(place, f"k0 long, values array<{kind}>"), Meta((n,), dims, dtype))
 
     def tobinary(self, path: str, prefix: str = "series", overwrite: bool = False) -> None:
         from voxelframe.sources import sinks

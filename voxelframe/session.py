@@ -48,6 +48,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:  # a local session, as in tests
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{sc.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
