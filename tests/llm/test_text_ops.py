@@ -197,3 +197,51 @@ def test_models_are_normalised():
     assert sum(base.values()) == pytest.approx(1)
     bi = Counter({"b": 1, "c": 1})
     assert sum((bi[w] + mu * base[w]) / (2 + mu) for w in base) == pytest.approx(1)
+
+
+def chains(a, b):
+    """Two words over two letters whose polynomial hashes modulo 2**64 are equal whatever the base."""
+    one, two = a, b
+    for _ in range(10):
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_long_words_are_told_apart(spark):
+    one, two = chains("a", "b")
+    assert len(one) == 1024 and one != two
+    rows = [(1, one), (2, two), (3, f"{one}\n{one}"), (4, " ".join([one] * 13)), (5, " ".join([two] * 13))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_dropped for r in linededup.drop_repeats(docs).orderBy("doc_id").collect()] == [0, 0, 2, 0, 0]
+    assert [r.n_removed for r in substring.remove_repeats(docs).orderBy("doc_id").collect()] == [0] * 5
+    assert [r.component_id for r in neardup.near_duplicates(docs.where("doc_id > 3")).orderBy("doc_id").collect()] == [4, 5]
+    assert [r.n_known for r in lm.score(docs, modulus=1, remainder=2).orderBy("doc_id").collect()] == [2, 2, 3, 14, 14]
+    assert len({r.base_score for r in lm.score(docs).where("doc_id < 3").collect()}) >= 1
+
+
+def test_hot_groups_of_edited_copies(spark):
+    """Members that are near a common original, but not all near each other, form few pairs and lose no link."""
+    rng = np.random.RandomState(3)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(100):
+        w = list(base)
+        for k in rng.choice(120, 2 + i % 7, replace=False):
+            w[k] = f"e{rng.randint(12)}"
+        docs.append((i, " ".join(w)))
+    docs += [(1000 + i, " ".join(base[: 20 + 2 * i])) for i in range(30)] + [(2000, " ".join(base))]
+    sets = {i: shingles(t, 3) for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in sets} and 1 < len(set(got.values())) < len(docs)

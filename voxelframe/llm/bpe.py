@@ -319,7 +319,7 @@ class Encoder:
         odd = odd_rows(buf, off, list(self.special))
         plain = ~np.isin(row, odd)
         start, end, row = start[plain], end[plain], row[plain]
-        code, kinds = pd.factorize(T.span_hash(T.prefix(buf), start, end))
+        code, kinds = pd.factorize(T.span_hash(T.prefix(buf), start, end, buf))
         if len(self.slot) + len(kinds) > REMEMBERED:
             self.forget()
         kinds = kinds.tolist()

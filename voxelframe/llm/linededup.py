@@ -49,10 +49,10 @@ def lines(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, ...
     last = np.where(some, solid[b - 1] + 1 if len(solid) else 0, start)
     points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80, dtype=np.int64)])
     sums = T.prefix(low)
-    h = T.span_hash(sums, first, last)
+    h = T.span_hash(sums, first, last, low)
     # The second hash has other byte values and is independent of the first.
-    again = T.prefix(T.TURN[low])
-    g = T.span_hash(again, first, last) ^ SECOND
+    turned = T.TURN[low]
+    g = T.span_hash(T.prefix(turned), first, last, turned) ^ SECOND
     shift = row  # newlines that were put in before
     return start - shift, end - shift, row, points[last] - points[first] >= least, h, g
 
@@ -144,7 +144,7 @@ def drop_repeats(docs: DataFrame, least: int = 10, batches: int = 3, fanout: int
     columns = docs.columns if with_text else ["doc_id", "text"]
     r = Rendezvous(docs, columns)
     where = F.pmod(F.xxhash64("doc_id"), F.lit(r.n)).cast("int").alias("grp")
-    gone = dropped.select("h", "g", "doc_id", where).repartition(r.n, "grp")
+    gone = dropped.select("h", "g", "doc_id", where).repartitionById(r.n, "grp")
 
     def key(doc, h, g):
         return T.mix(T.mix(h ^ T.mix(doc.view(np.uint64))) + g)

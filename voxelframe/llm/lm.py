@@ -42,7 +42,7 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     n = np.bincount(row, minlength=len(off) - 1)
     last = np.cumsum(n + 1) - 1
     out = np.empty(len(start) + len(n), np.uint64)
-    out[np.arange(len(start)) + row] = T.span_hash(T.prefix(low), start, end)
+    out[np.arange(len(start)) + row] = T.span_hash(T.prefix(low), start, end, low)
     out[last] = END
     return out, last - n, last
 

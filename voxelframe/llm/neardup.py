@@ -8,22 +8,30 @@ The other collisions are skipped: they are counted from the two signatures of a
 enough are confirmed on their full sets.
 
 What a class shares with no other posted class can't be in an intersection, so the number of its shingles that others
-have too bounds each of its similarities exactly; classes and pairs whose bound is too low are dropped before they meet.
-Copies with many edits of their own, which are near each other but not near enough, never form pairs.
+have too bounds each of its similarities exactly; classes whose bound is too low are dropped before they meet.
 
-A long posting list is not expanded into its pairs. First all its members are tested against the one with the least
-part of its own (in a group of edited copies that is the original), and linked members are united; then against a
-second, differently chosen one; only pairs that still are of different components and within the bound are compared with
-each other. So a group of near copies costs about one test a member, and no link between components is lost.
+Linked classes have sizes of a ratio of the similarity at least. So a list is cut into overlapping bands of sizes, each a
+list of its own: of classes in one of the steps of that ratio and in the next one.
+
+A posting list of more than SHORT members is not expanded into its pairs. All its members are tested against the most
+central one, its pivot (whose tokens most others have), and linked members are united. Where the list still holds several
+components, take x that is not linked with the pivot, of whose shingles the pivot has c. A partner y of a size s or more,
+s following from c, needs an intersection with x of o > c shingles, so x and y share a shingle that the pivot lacks: the
+members post themselves again under such shingles, those not linked with the pivot under the |x| - o + 1 rarest of all
+of x (the prefix filter again), linked ones under all. What is left are pairs of x with partners of sizes
+under s, less than the pivot's: the members concerned stay in the list, without the pivot. All these lists are handled
+likewise, until none holds several components. Each of these filters is exact, no link is lost by them, and a group of n
+copies with edits of their own, near each other or not near enough, costs some tests a member and never its pairs.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with nothing; a text of
 fewer words than a shingle has is one shingle; a null doc_id takes no part, has no component and is kept; of rows with
-one doc_id each is returned with the component of its own text, named by its smallest doc_id; other columns are ignored; an empty table gives no rows.
+one doc_id each is returned with the component of its own text, named by its smallest doc_id; other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +40,12 @@ from pyspark.sql import functions as F
 
 from voxelframe.llm import text as T
 from voxelframe.llm.components import components
-from voxelframe.llm.rendezvous import Rendezvous, cuts, merge
+from voxelframe.llm.rendezvous import Rendezvous, merge
 from voxelframe.session import keep, ship, table
 
-COORDINATES, MISS = 40, 1e-5
+COORDINATES, MISS = 64, 1e-7
+#: A list of so many members is tested pair by pair.
+SHORT = 12
 _RNG = np.random.Generator(np.random.PCG64(77))
 FACTOR = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64) | np.uint64(1)
 TERM = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
@@ -55,7 +65,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     """Distinct shingles' hashes in order of row and hash, and the number of each row's."""
     low = T.LOWER[buf]
     start, end, row = T.spans(low, off)
-    h = T.span_hash(T.prefix(low), start, end)
+    h = T.span_hash(T.prefix(low), start, end, low)
     n = np.bincount(row, minlength=len(off) - 1)
     whole = T.windows(h, k)
     at = np.flatnonzero(row[: len(whole)] == row[k - 1 :]) if len(whole) else np.zeros(0, np.int64)
@@ -105,7 +115,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def postings(classes: DataFrame, least: int) -> DataFrame:
-    """(doc_id, n, tokens): each class that has enough shared tokens, with the rarest of these (as structs of count and
+    """(doc_id, n, tokens, central): each class that has enough shared tokens, with the rarest of these (as structs of count and
     token), as many as the prefix filter needs."""
 
     def tokens(batches):
@@ -119,13 +129,14 @@ def postings(classes: DataFrame, least: int) -> DataFrame:
     shared = every.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
     own = every.join(shared, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("many", "token"))).alias("tokens"))
     rarest = F.slice("tokens", 1, F.size("tokens") - (least - 1))
-    return own.where(F.size("tokens") >= least).select("doc_id", "n", rarest.alias("tokens"))
+    central = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x.many)  # over all others, the coordinates that agree
+    return own.where(F.size("tokens") >= least).select("doc_id", "n", rarest.alias("tokens"), central.alias("central"))
 
 
-def shared_sizes(cand: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shared): how many shingles of each of the candidates (doc_id, text) another candidate has too."""
+def shared_sets(cand: DataFrame, k: int) -> DataFrame:
+    """(id, n, shingles): the size of the set of each of the candidates (doc_id, text), and those of its shingles that
+    another candidate has too, the rarest first (by powers of 2**0.25, then by hash: an order that all sets share)."""
     r = Rendezvous(cand)
-    buckets = r.n
 
     def sets(docs):
         docs = T.rows_in_order(docs)
@@ -138,56 +149,82 @@ def shared_sizes(cand: DataFrame, k: int) -> DataFrame:
 
     def answer(_, asked):
         groups, ends, index, (n, keys) = merge(asked)
-        many = np.bincount(index, n, len(keys)) > 1
+        rank = np.minimum(255, np.ceil(4 * np.log2(np.bincount(index, n, len(keys))))).astype(np.uint8)
         for g, a, b in zip(groups, ends[:-1], ends[1:], strict=True):
-            yield g, np.packbits(many[index[a:b]]).tobytes()
+            yield g, rank[index[a:b]].tobytes()
 
     def finish(docs, answers):
         ids, every, n = sets(docs)
-        keys, index = np.unique(every, return_inverse=True)
-        many = T.bits_of(answers, np.diff(cuts(keys, buckets)))[index.reshape(-1)]
-        total = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
-        end = np.cumsum(n)
-        return pa.table({"doc_id": ids.cast(pa.int64()), "shared": total[end] - total[end - n]})
+        _, index = np.unique(every, return_inverse=True)
+        rank = np.frombuffer(b"".join(answers.values()), np.uint8)[index.reshape(-1)]
+        many = rank > 0
+        row = np.repeat(np.arange(len(n)), n)[many]
+        own = every[many][np.lexsort((every[many], rank[many], row))]
+        cut, raw = (8 * np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)))])).tolist(), own.tobytes()
+        return pa.table({"id": ids.cast(pa.int64()), "n": n, "shingles": pa.array([raw[p:q] for p, q in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+
+    return r.finish(finish, r.answer(r.ask(ask), answer), "id long, n long, shingles binary")
+
 
-    return r.finish(finish, r.answer(r.ask(ask), answer), "doc_id long, shared long")
+def beside(pairs: DataFrame, rows: DataFrame, **names: str) -> DataFrame:
+    """`pairs` (a, b) with the columns of `rows` (id, ..) of a, then of b, under the two new names given for each."""
+    for side, at in (("a", 0), ("b", 1)):
+        pairs = pairs.join(rows.select(F.col("id").alias(side), *[F.col(c).alias(both.split()[at]) for c, both in names.items()]), side)
+    return pairs
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, cand: DataFrame, k: int, percent: int, least: int) -> DataFrame:
-    """Those of `pairs` (a, b) that are similar: by collisions of their signatures, then by their full sets."""
-    sig = classes.select("doc_id", "signature")
+def collided(pairs: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
+    """Those of `pairs` (a, b) whose signatures collide often enough."""
 
     def collide(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, COORDINATES) for c in ("x", "y"))
-            own = batch.filter(pa.array((x == y).sum(1) >= least))
-            yield own.select(["a", "b"])
+            yield batch.filter(pa.array((x == y).sum(1) >= least)).select(["a", "b"])
 
-    left, right = (sig.select(F.col("doc_id").alias(c), F.col("signature").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    near = keep(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(collide, "a long, b long"), "near")
+    return beside(pairs, signatures, signature="x y").mapInArrow(collide, "a long, b long")
 
-    def sets(batches):
-        for batch in batches:
-            ids = np.asarray(batch.column("doc_id").cast(pa.int64()))
-            for i, j, buf, off in T.chunks(*T.flat(batch.column("text"))):
-                keys, n = shingle_sets(buf, off, k)
-                cut, raw = (8 * np.concatenate([[0], np.cumsum(n)])).tolist(), keys.tobytes()
-                yield pa.RecordBatch.from_pydict({"doc_id": ids[i:j], "shingles": [raw[p:q] for p, q in zip(cut[:-1], cut[1:], strict=True)]})
 
-    met = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    own = keep(cand.join(met, "doc_id").mapInArrow(sets, "doc_id long, shingles binary"), "sets")
+def linked(n: int, m: int, common: int, percent: int) -> bool:
+    return 100 * common >= percent * (n + m - common)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (a, b) that are similar by their full sets."""
 
     def similar(batches):
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
+                common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                good.append(linked(n, m, common, percent))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    left, right = (own.select(F.col("doc_id").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    return near.join(left, "a").join(right, "b").mapInArrow(similar, "a long, b long")
+    return beside(pairs, sets, n="n m", shingles="x y").mapInArrow(similar, "a long, b long")
+
+
+def reposted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, under, keys): for `pairs` of a member a and its list's pivot b, the size under which partners are still to
+    be met in the list (0 if a and b are linked), and the lists of the shingles that the pivot lacks and under which a has
+    to meet the others."""
+
+    def post(batches):
+        for batch in batches:
+            under, keys = [], []
+            for b, n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("b", "n", "m", "x", "y")), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                own = x[np.isin(x, y, assume_unique=True, invert=True)]
+                common = len(x) - len(own)
+                if linked(n, m, common, percent):
+                    under.append(0)
+                else:
+                    size = -(-(common * (100 + percent) + 1) // percent) - n
+                    least = -(-percent * (n + max(size, -(-percent * n // 100))) // (100 + percent))
+                    own = own[: max(0, n - least + 1 - (n - len(x)))]  # what no other has comes first and needs no posting
+                    under.append(max(0, size))
+                keys.append(T.mix(own ^ T.mix(np.array([b]).view(np.uint64))).view(np.int64))
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "under": pa.array(under, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    return beside(pairs, sets, n="n m", shingles="x y").mapInArrow(post, "a long, b long, under long, keys array<long>")
 
 
 def _digested(batches, k: int):
@@ -220,12 +257,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     home = keep(posted.select(F.col("doc_id").alias("id")).join(classes.select("id", "doc_id", "one"), "id"), "homes")
     cand = docs.select("doc_id", "text").join(home.select("doc_id").distinct(), "doc_id").mapInArrow(lambda batches: _digested(batches, k), "doc_id long, text string, one long")
     cand = keep(cand.join(home, ["doc_id", "one"]).dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "text"), "candidates")
-    posts = posted.join(shared_sizes(cand, k), "doc_id").where(100 * F.col("shared") >= percent * F.col("n"))
-    posts = keep(posts.select("doc_id", "n", "shared", F.explode("tokens.token").alias("token")), "posts")
-    # The greatest intersection that two can have, and what their union then is.
-    most = F.least("shared", "theirs")
-    fits = 100 * most >= percent * (F.col("n") + F.col("m") - most)
-    links, tried, label = None, None, None
+    sets = keep(shared_sets(cand, k).where(100 * F.length("shingles") / 8 >= percent * F.col("n")), "sets")
+    signatures = keep(single.withColumnRenamed("doc_id", "id").select("id", "signature").join(sets.select("id"), "id"), "signatures")
+    step = F.floor(F.log("n") / (1.000001 * log(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int")
+    lists = posted.select(F.col("doc_id").alias("id"), "central", F.explode("tokens.token").alias("key")).join(sets.select("id", "n", F.explode(F.array(step, step - 1)).alias("band")), "id")
+    links, label = None, None
 
     def label_of(rows: DataFrame, column: str, name: str) -> DataFrame:
         if label is None:
@@ -233,28 +269,38 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         found = label.select(F.col("node").alias(column), F.col("component").alias(name))
         return rows.join(found, column, "left").withColumn(name, F.coalesce(name, F.col(column)))
 
-    for round_ in range(3):
-        own = label_of(posts, "doc_id", "own")
-        open_ = own if label is None else own.join(own.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("token"), "token")
-        if label is not None:
-            open_ = keep(open_, "open")
-        order = (F.struct(1 - F.col("shared") / F.col("n"), "doc_id"), F.struct(F.xxhash64("doc_id"), "doc_id"), None)[round_]
-        them = [F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("shared").alias("theirs"), F.col("own").alias("its")]
-        if order is not None:
-            other = open_.groupBy("token").agg(F.min_by(F.struct(*them), order).alias("o")).select("token", "o.*")
-        else:
-            other = open_.select("token", *them)
-        met = open_.join(other, "token").where((F.col("own") != F.col("its")) & fits)
-        if order is None:
-            met = met.where("doc_id < other")
-        pairs = met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = keep(confirm(pairs, single, cand, k, percent, least), "links")
+    whose, member = ["key", "band"], ["key", "band", "id", "n", "central"]
+
+    def unfinished(lists: DataFrame, members: int) -> DataFrame:
+        """Members, and pivots and sizes of the lists of so many members that hold several components."""
+        own = label_of(lists.select(*member), "id", "own")
+        pivot = F.max_by("id", F.struct("central", "n", "id")).alias("pivot")
+        heads = own.groupBy(*whose).agg(pivot, F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("many"))
+        heads = heads.where((F.col("lo") < F.col("hi")) & (F.col("many") >= members)).select(*whose, "pivot", "many")
+        return own.join(heads, whose).select(*member, "pivot", "many")
+
+    while True:
+        lists = keep(unfinished(lists, 2), "lists")
+        if lists.isEmpty():
+            break
+        star = lists.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+        # At most SHORT members, so less than SHORT pairs for each.
+        short = lists.where(F.col("many") <= SHORT).groupBy(*whose).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        short = short.select("ids", F.explode("ids").alias("a")).select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
+        pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(short).distinct()
+        new = keep(confirmed(keep(collided(pairs, signatures, least), "collided"), sets, percent), "links")
         links = new if links is None else links.unionByName(new)
-        label = components(links)
+        label = components(links) if label is None or not new.isEmpty() else label
+        rest = keep(unfinished(lists, SHORT + 1).where("id <> pivot"), "rest")
+        if rest.isEmpty():
+            break
+        made = keep(reposted(rest.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sets, percent), "reposted")
+        rest = rest.join(made.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "under", "keys"), ["id", "pivot"])
+        sizes = rest.groupBy(*whose).agg(F.max("under").alias("most"), F.min("n").alias("smallest"))
+        stay = rest.join(sizes, whose).where((F.col("under") > F.col("smallest")) | (F.col("n") < F.col("most")))
+        lists = rest.select("band", "id", "n", "central", F.explode("keys").alias("key")).select(*member).distinct().unionByName(stay.select(*member))
+    if label is None:
+        label = components(every.select(F.lit(0).alias("a"), F.lit(0).alias("b")).limit(0))
     whole = label_of(classes.select("one", "two", "n", "doc_id", "id"), "id", "of")
     least_of = label.join(classes.select(F.col("id").alias("node"), "doc_id"), "node").groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("least"))
     rep = whole.join(least_of, "of", "left").select("one", "two", F.col("n").alias("size"), F.coalesce("least", "doc_id").alias("component_id"))

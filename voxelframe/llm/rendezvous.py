@@ -1,5 +1,7 @@
 """Documents in hashed groups ask about keys; buckets of the key space answer.
 
+A group or bucket is a partition of its own: rows go to the partition of their number, not to that of its hash.
+
 Each group of documents reduces its keys to distinct ones with what it knows of them (the map-side combine: a key that
 is in a third of all documents is one entry a group), and sends each bucket one block. A bucket sees all groups' entries
 for its share of the keys and answers each group entry by entry, in the same order, so an answer carries no keys. The
@@ -80,7 +82,7 @@ class Rendezvous:
         size = input_bytes(docs)
         self.n = max(shuffle_partitions(spark), int(size / max(group_bytes, (size * BLOCK_BYTES) ** 0.5)) + 1)
         where = F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text")))
-        self.docs = docs.select(*columns, F.pmod(where, F.lit(self.n)).cast("int").alias("grp")).repartition(self.n, "grp")
+        self.docs = docs.select(*columns, F.pmod(where, F.lit(self.n)).cast("int").alias("grp")).repartitionById(self.n, "grp")
 
     def ask(self, fn: Callable, answers: DataFrame | None = None) -> DataFrame:
         """fn(documents, answers by bucket) gives sorted distinct uint64 keys and any arrays that go with them, or
@@ -111,7 +113,7 @@ class Rendezvous:
             lean()
             return pa.table([pa.array([g for g, _ in made], pa.int32()), pa.array([key[0].as_py() + (tag << 24)] * len(made), pa.int32()), pa.array([p for _, p in made], pa.binary())], BLOCK)
 
-        return asks.repartition(self.n, "bucket").groupBy("bucket").applyInArrow(run, BLOCK_DDL)
+        return asks.repartitionById(self.n, "bucket").groupBy("bucket").applyInArrow(run, BLOCK_DDL)
 
     def finish(self, fn: Callable, answers: DataFrame, schema: str) -> DataFrame:
         """fn(documents, answers by bucket) gives a table of the result's rows."""
@@ -122,7 +124,7 @@ class Rendezvous:
         return self._with(answers).applyInArrow(run, schema)
 
     def _with(self, answers: DataFrame):
-        return self.docs.groupBy("grp").cogroup(answers.repartition(self.n, "grp").groupBy("grp"))
+        return self.docs.groupBy("grp").cogroup(answers.repartitionById(self.n, "grp").groupBy("grp"))
 
 
 def blocks(t: pa.Table, by: str) -> dict[int, bytes]:

@@ -40,7 +40,7 @@ class _Words:
         starts, ends, rows, hashes = [], [], [], []
         for i, _, buf, off in T.chunks(self.buf, self.off):
             s, e, row = T.spans(buf, off)
-            hashes.append(T.span_hash(T.prefix(buf), s, e))
+            hashes.append(T.span_hash(T.prefix(buf), s, e, buf))
             starts.append(s + self.off[i])
             ends.append(e + self.off[i])
             rows.append(row + i)

@@ -1,11 +1,14 @@
 """Vectorised kernels over many texts at once: words, hashes and byte windows of one flat buffer.
 
-A batch of texts is one uint8 buffer and its offsets. Hashes are 64-bit polynomials over random byte values, finished by
-a mixer; they wrap modulo 2**64.
+A batch of texts is one uint8 buffer and its offsets. Hashes of short spans are 64-bit polynomials over random byte
+values, finished by a mixer; they wrap modulo 2**64. Long spans, of which such polynomials have systematic collisions,
+are hashed by BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -24,6 +27,8 @@ STEP = U64(0x9E3779B97F4A7C15 | 1)
 STEP_BACK = U64(pow(int(STEP), -1, 2**64))
 FOLD = U64(0xD6E8FEB86659FD93)
 CHUNK = 1 << 20
+#: Bytes from which on a span is long. Two words over two letters have equal polynomials whatever the base from 512 on.
+LONG = 128
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -102,9 +107,13 @@ def prefix(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, buf: np.ndarray) -> np.ndarray:
+    """Hashes of spans of buf, whose prefix() is given."""
     _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * FOLD)
+    out = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * FOLD)
+    for k in np.flatnonzero(end - start >= LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(buf[start[k] : end[k]], digest_size=8).digest(), "little")
+    return out
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
@@ -150,11 +159,17 @@ class Index:
             behind = behind[self.keys[at[behind]] < wanted[behind]]
         return at
 
-    def has(self, wanted: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return self.keys[at] == wanted
+    def look(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each wanted key, -1 where it is not present."""
+        at, last = self.table[wanted >> U64(64 - self.bits)], len(self.keys) - 1
+        if last < 0:
+            return np.full(len(wanted), -1)
+        at = np.minimum(at, last)
+        behind = np.flatnonzero((self.keys[at] < wanted) & (at < last))
+        while len(behind):
+            at[behind] += 1
+            behind = behind[(self.keys[at[behind]] < wanted[behind]) & (at[behind] < last)]
+        return np.where(self.keys[at] == wanted, at, -1)
 
 
 def joined(parts: list[np.ndarray], kind) -> np.ndarray:

@@ -53,10 +53,10 @@ def sentences(buf: np.ndarray, off: np.ndarray):
     sentence = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     sums = T.prefix(low)
-    hashes, of = [T.span_hash(sums, start, end) ^ WORD], [sentence]
+    hashes, of = [T.span_hash(sums, start, end, low) ^ WORD], [sentence]
     for k in BEGINNINGS:
         longer = np.flatnonzero(end - start >= k)
-        hashes.append(T.span_hash(sums, start[longer], start[longer] + k))
+        hashes.append(T.span_hash(sums, start[longer], start[longer] + k, low))
         of.append(sentence[longer])
     return np.concatenate(hashes), np.concatenate(of), row[first], start[first], end[np.append(first[1:], len(start)) - 1]
 
