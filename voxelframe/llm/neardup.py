@@ -13,15 +13,20 @@ have too bounds each of its similarities exactly; classes whose bound is too low
 Linked classes have sizes of a ratio of the similarity at least. So a list is cut into overlapping bands of sizes, each a
 list of its own: of classes in one of the steps of that ratio and in the next one.
 
-A posting list of more than SHORT members is not expanded into its pairs. All its members are tested against the most
-central one, its pivot (whose tokens most others have), and linked members are united. Where the list still holds several
-components, take x that is not linked with the pivot, of whose shingles the pivot has c. A partner y of a size s or more,
-s following from c, needs an intersection with x of o > c shingles, so x and y share a shingle that the pivot lacks: the
-members post themselves again under such shingles, those not linked with the pivot under the |x| - o + 1 rarest of all
-of x (the prefix filter again), linked ones under all. What is left are pairs of x with partners of sizes
-under s, less than the pivot's: the members concerned stay in the list, without the pivot. All these lists are handled
-likewise, until none holds several components. Each of these filters is exact, no link is lost by them, and a group of n
-copies with edits of their own, near each other or not near enough, costs some tests a member and never its pairs.
+A posting list of more than SHORT members is not expanded into its pairs. A few of its members, the same ones for all the
+lists of a group of copies, vote for a core P: the shingles that more than half of them have. Against it a member x has
+some shingles missing (d of them) and some added. With o(x, y) the least intersection that links x and y,
+
+    |x & y| = |P| - d(x) - d(y) + shared missing ones + shared added ones,
+
+so either |P| - d(x) - d(y) >= o(x, y), and x and y are linked, or they are linked only if they share a missing or added
+shingle. Of the first kind of pairs, all that have one are linked with the member of the least d + o's share of it; all
+members are tested against that one, and linked members are united. For the second kind, members of lists that still hold
+several components post themselves again under what they miss and add: the rarest added shingles first, as many as the
+least number of shared ones leaves (the prefix filter again). The new lists are handled likewise, until none holds several
+components. None of them has more than half of the voters of the list that it comes from, so this ends. Each filter is
+exact for any core, no link is lost by them, and a group of n copies with edits of their own, near each other or not near
+enough, costs some tests a member and never its pairs.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with nothing; a text of
 fewer words than a shingle has is one shingle; a null doc_id takes no part, has no component and is kept; of rows with
@@ -44,8 +49,8 @@ from voxelframe.llm.rendezvous import Rendezvous, merge
 from voxelframe.session import keep, ship, table
 
 COORDINATES, MISS = 64, 1e-7
-#: A list of so many members is tested pair by pair.
-SHORT = 12
+#: A list of so many members is tested pair by pair; in longer ones so many vote for a core.
+SHORT, VOTERS = 12, 15
 _RNG = np.random.Generator(np.random.PCG64(77))
 FACTOR = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64) | np.uint64(1)
 TERM = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
@@ -115,7 +120,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def postings(classes: DataFrame, least: int) -> DataFrame:
-    """(doc_id, n, tokens, central): each class that has enough shared tokens, with the rarest of these (as structs of count and
+    """(doc_id, n, tokens): each class that has enough shared tokens, with the rarest of these (as structs of count and
     token), as many as the prefix filter needs."""
 
     def tokens(batches):
@@ -129,8 +134,7 @@ def postings(classes: DataFrame, least: int) -> DataFrame:
     shared = every.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
     own = every.join(shared, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("many", "token"))).alias("tokens"))
     rarest = F.slice("tokens", 1, F.size("tokens") - (least - 1))
-    central = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x.many)  # over all others, the coordinates that agree
-    return own.where(F.size("tokens") >= least).select("doc_id", "n", rarest.alias("tokens"), central.alias("central"))
+    return own.where(F.size("tokens") >= least).select("doc_id", "n", rarest.alias("tokens"))
 
 
 def shared_sets(cand: DataFrame, k: int) -> DataFrame:
@@ -202,29 +206,53 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return beside(pairs, sets, n="n m", shingles="x y").mapInArrow(similar, "a long, b long")
 
 
-def reposted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, under, keys): for `pairs` of a member a and its list's pivot b, the size under which partners are still to
-    be met in the list (0 if a and b are linked), and the lists of the shingles that the pivot lacks and under which a has
-    to meet the others."""
+def core(sets: list[np.ndarray]) -> np.ndarray:
+    """The shingles that more than half of the sets have, the rarest first."""
+    keys, n = np.unique(np.concatenate(sets), return_counts=True)
+    own = 2 * n > len(sets)
+    return keys[own][np.argsort(n[own], kind="stable")]
+
+
+def differences(members: DataFrame, cores: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(band, core, id, n, far, keys): for `members` (band, core, id), 100 + percent times what is missing of the core plus
+    percent times n, so that two are surely linked if theirs add up to 100 + percent times the core's size at most; and the
+    lists of missing and added shingles under which the member has to meet others."""
 
     def post(batches):
         for batch in batches:
-            under, keys = [], []
-            for b, n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("b", "n", "m", "x", "y")), strict=True):
+            far, keys = [], []
+            for c, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("core", "n", "shingles", "whole")), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                own = x[np.isin(x, y, assume_unique=True, invert=True)]
-                common = len(x) - len(own)
-                if linked(n, m, common, percent):
-                    under.append(0)
-                else:
-                    size = -(-(common * (100 + percent) + 1) // percent) - n
-                    least = -(-percent * (n + max(size, -(-percent * n // 100))) // (100 + percent))
-                    own = own[: max(0, n - least + 1 - (n - len(x)))]  # what no other has comes first and needs no posting
-                    under.append(max(0, size))
-                keys.append(T.mix(own ^ T.mix(np.array([b]).view(np.uint64))).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "under": pa.array(under, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+                added, missing = x[np.isin(x, y, assume_unique=True, invert=True)], y[np.isin(y, x, assume_unique=True, invert=True)]
+                own = percent * n + (100 + percent) * len(missing)
+                # A partner has percent * |P| at least of this measure; shared ones are as many as both exceed the core by.
+                shared = max(1, -(-(own - 100 * len(y)) // (100 + percent)))
+                some = n + 2 * len(missing) - len(y) - shared + 1  # of the added and then the missing ones
+                least = -(-percent * n // 100) - (len(y) - len(missing))  # shared added ones, whatever is missing
+                if least >= 1:
+                    some = min(some, n - (len(y) - len(missing)) - least + 1)
+                some -= n - len(x)  # what no other has comes first and needs no posting
+                salt = np.array([c], np.int64).view(np.uint64)
+                out = np.concatenate([T.mix(added ^ T.mix(salt)), T.mix(missing ^ T.mix(~salt))])[: max(0, some)]
+                far.append(own)
+                keys.append(out.view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("band", "core", "id", "n")), pa.array(far, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["band", "core", "id", "n", "far", "keys"])
+
+    both = members.join(sets, "id").join(cores, "core")
+    return both.mapInArrow(post, "band int, core long, id long, n long, far long, keys array<long>")
+
+
+def voted(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """(core, whole): the cores by the voters of `lists` (core, voters)."""
+
+    def vote(batches):
+        for batch in batches:
+            out = [core([np.frombuffer(x, np.uint64) for x in own]).tobytes() for own in batch.column("sets").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("core"), pa.array(out, pa.binary())], ["core", "whole"])
 
-    return beside(pairs, sets, n="n m", shingles="x y").mapInArrow(post, "a long, b long, under long, keys array<long>")
+    voters = lists.select("core", "voters").dropDuplicates(["core"]).select("core", F.explode("voters").alias("id"))
+    own = voters.where("id IS NOT NULL").join(sets.select("id", "shingles"), "id").groupBy("core").agg(F.collect_list("shingles").alias("sets"))  # at most VOTERS
+    return own.mapInArrow(vote, "core long, whole binary")
 
 
 def _digested(batches, k: int):
@@ -260,7 +288,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     sets = keep(shared_sets(cand, k).where(100 * F.length("shingles") / 8 >= percent * F.col("n")), "sets")
     signatures = keep(single.withColumnRenamed("doc_id", "id").select("id", "signature").join(sets.select("id"), "id"), "signatures")
     step = F.floor(F.log("n") / (1.000001 * log(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int")
-    lists = posted.select(F.col("doc_id").alias("id"), "central", F.explode("tokens.token").alias("key")).join(sets.select("id", "n", F.explode(F.array(step, step - 1)).alias("band")), "id")
+    lists = posted.select(F.col("doc_id").alias("id"), F.explode("tokens.token").alias("key")).join(sets.select("id", "n", F.explode(F.array(step, step - 1)).alias("band")), "id")
     links, label = None, None
 
     def label_of(rows: DataFrame, column: str, name: str) -> DataFrame:
@@ -269,36 +297,34 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         found = label.select(F.col("node").alias(column), F.col("component").alias(name))
         return rows.join(found, column, "left").withColumn(name, F.coalesce(name, F.col(column)))
 
-    whose, member = ["key", "band"], ["key", "band", "id", "n", "central"]
+    whose, member = ["key", "band"], ["key", "band", "id", "n"]
+    part = F.pmod(F.xxhash64("id"), F.lit(VOTERS))
 
-    def unfinished(lists: DataFrame, members: int) -> DataFrame:
-        """Members, and pivots and sizes of the lists of so many members that hold several components."""
+    def unfinished(lists: DataFrame) -> DataFrame:
+        """Members, sizes and voters of the lists that hold several components."""
         own = label_of(lists.select(*member), "id", "own")
-        pivot = F.max_by("id", F.struct("central", "n", "id")).alias("pivot")
-        heads = own.groupBy(*whose).agg(pivot, F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("many"))
-        heads = heads.where((F.col("lo") < F.col("hi")) & (F.col("many") >= members)).select(*whose, "pivot", "many")
-        return own.join(heads, whose).select(*member, "pivot", "many")
+        voters = F.array(*[F.min(F.when(part == v, F.col("id"))) for v in range(VOTERS)]).alias("voters")
+        heads = own.groupBy(*whose).agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("many"), voters).where("lo < hi")
+        return own.join(heads, whose).select(*member, "many", "voters", F.xxhash64("voters").alias("core"))
 
     while True:
-        lists = keep(unfinished(lists, 2), "lists")
+        lists = keep(unfinished(lists), "lists")
         if lists.isEmpty():
             break
-        star = lists.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
         # At most SHORT members, so less than SHORT pairs for each.
         short = lists.where(F.col("many") <= SHORT).groupBy(*whose).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-        short = short.select("ids", F.explode("ids").alias("a")).select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
-        pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(short).distinct()
+        pairs = short.select("ids", F.explode("ids").alias("a")).select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
+        long = lists.where(F.col("many") > SHORT)
+        cores = keep(voted(long, sets), "cores")
+        made = keep(differences(long.select("band", "core", "id").distinct(), cores, sets.select("id", "n", "shingles"), percent), "differences")
+        nearest = made.groupBy("band", "core").agg(F.min_by("id", F.struct("far", "id")).alias("nearest"))
+        star = made.select("band", "core", "id").join(nearest, ["band", "core"]).where("id <> nearest").select(F.least("id", "nearest").alias("a"), F.greatest("id", "nearest").alias("b"))
+        pairs = pairs.unionByName(star).distinct()
         new = keep(confirmed(keep(collided(pairs, signatures, least), "collided"), sets, percent), "links")
         links = new if links is None else links.unionByName(new)
         label = components(links) if label is None or not new.isEmpty() else label
-        rest = keep(unfinished(lists, SHORT + 1).where("id <> pivot"), "rest")
-        if rest.isEmpty():
-            break
-        made = keep(reposted(rest.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sets, percent), "reposted")
-        rest = rest.join(made.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "under", "keys"), ["id", "pivot"])
-        sizes = rest.groupBy(*whose).agg(F.max("under").alias("most"), F.min("n").alias("smallest"))
-        stay = rest.join(sizes, whose).where((F.col("under") > F.col("smallest")) | (F.col("n") < F.col("most")))
-        lists = rest.select("band", "id", "n", "central", F.explode("keys").alias("key")).select(*member).distinct().unionByName(stay.select(*member))
+        open_ = unfinished(long).select("band", "core", "id").distinct()
+        lists = made.join(open_, ["band", "core", "id"]).select(F.explode("keys").alias("key"), "band", "id", "n").distinct()
     if label is None:
         label = components(every.select(F.lit(0).alias("a"), F.lit(0).alias("b")).limit(0))
     whole = label_of(classes.select("one", "two", "n", "doc_id", "id"), "id", "of")
