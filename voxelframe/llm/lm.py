@@ -1,15 +1,19 @@
 """LM scoring by a weighted backoff automaton.
 
-States are contexts of up to order - 1 tokens, arcs the n-grams seen in training, and every state but the root has a
-failure arc to the context that is one token shorter. Smoothing is a Dirichlet prior from the shorter context:
+States are contexts of up to order - 1 tokens that training has seen, one of them the start of text; arcs are the n-grams
+seen in training, and every state but the root has a failure arc to the context that is one token shorter. Smoothing is a
+Dirichlet prior from the shorter context:
 
     p(w | h) = (c(hw) + mu * p(w | h')) / (c(h) + mu)
 
-so a seen n-gram's arc weighs the whole of it, the failure arc weighs mu / (c(h) + mu), and p at the root is add-one over
-the known tokens and one unknown. A text is scored in one left-to-right traversal that carries its state: at each token
-it follows the arc or the failure arc and adds the log10 weight; here the steps of all the texts of a batch are taken
-together, as each step's state is fixed by the tokens before it. The automaton is never in one place: each group of
-documents asks for the counts on the arcs that its texts use, and buckets of the n-gram space answer.
+so the arc of a seen n-gram weighs log10 of the whole of it, the failure arc log10 of mu / (c(h) + mu), and the root has
+an arc for each token, add-one over the known ones and one unknown. A text is scored in one left-to-right traversal that
+carries its state: at each token it follows the state's arc, or failure arcs until there is one, and adds the weights.
+All texts of a group of documents are traversed side by side; long ones in stretches, whose state is found by reading the
+order - 1 tokens before them, on which alone it depends.
+
+The automaton is never in one place: each group of documents asks for the counts of the n-grams that its texts use,
+buckets of the n-gram space answer, and the group builds the states and arcs that its texts reach, as flat arrays.
 
 Defined results: null and empty texts are one end token; a null doc_id is not held out and trains; repeated rows count
 each time; other columns are ignored; an empty table gives no rows.
@@ -68,6 +72,72 @@ def _keys(docs: pa.Table, order: int):
         yield i, j, first, last, *ngrams(seq, first, last, order)
 
 
+class Automaton:
+    """States and tokens are the numbers of n-grams; ROOT is the empty context. An n-gram's arc leads from its context, by
+    its last token, to `to`; `shorter` is where a state's failure arc leads."""
+
+    ROOT, STRETCH = -1, 256
+
+    def __init__(self, n: int, order: int, context_counts: np.ndarray, mu: float):
+        """n n-grams; state n is the start of text. context_counts tells how often training has seen each state."""
+        self.order, self.start = order, n if context_counts[n] > 0 else self.ROOT
+        self.weight, self.to = np.zeros(n), np.full(n, self.ROOT)
+        self.context, self.token, self.shorter = np.full(n, self.ROOT), np.zeros(n, np.int64), np.full(n + 1, self.ROOT)
+        self.failure = np.log10(mu / (context_counts + mu))
+        self.arcs: T.Index | None = None
+
+    @staticmethod
+    def _key(state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        return T.mix((state.astype(np.uint64) << np.uint64(32)) | token.astype(np.uint64))
+
+    def close(self) -> None:
+        """All arcs are put in; those of states other than the root are found by their state and token."""
+        own = np.flatnonzero(self.context >= 0)
+        key = self._key(self.context[own], self.token[own])
+        order = np.argsort(key)
+        self.arcs, self.arc = T.Index(key[order]), own[order]
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a token, and the weights of the arcs to them."""
+        out, weight = np.full(len(state), self.ROOT), np.zeros(len(state))
+        state, left = state.copy(), np.flatnonzero(state != self.ROOT)
+        root = state == self.ROOT
+        while len(left):
+            at = self.arcs.look(self._key(state[left], token[left]))
+            hit = at >= 0
+            arc, there = self.arc[at[hit]], left[hit]
+            weight[there] += self.weight[arc]
+            out[there] = self.to[arc]
+            left = left[~hit]
+            weight[left] += self.failure[state[left]]
+            state[left] = self.shorter[state[left]]
+            root[left] = state[left] == self.ROOT
+            left = left[~root[left]]
+        weight[root] += self.weight[token[root]]
+        out[root] = self.to[token[root]]
+        return out, weight
+
+    def scores(self, tokens: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of each text, from the place of its first token to that of its last, the sum of the weights."""
+        size, before = last - first + 1, self.order - 1
+        many = -(-size // self.STRETCH)
+        text = np.repeat(np.arange(len(size)), many)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        warm = np.where(nth > 0, before, 0)
+        begin = first[text] + nth * self.STRETCH - warm
+        length = np.minimum(self.STRETCH, size[text] - nth * self.STRETCH) + warm
+        order = np.argsort(-length, kind="stable")
+        text, warm, begin, length = text[order], warm[order], begin[order], length[order]
+        state = np.where((nth[order] > 0) | (before == 0), self.ROOT, self.start)
+        total = np.zeros(len(text))
+        live = len(text)
+        for k in range(int(length[0]) if len(length) else 0):
+            live = int(np.searchsorted(-length[:live], -k, "left"))
+            state[:live], weight = self.step(state[:live], tokens[begin[:live] + k])
+            total[:live] += np.where(warm[:live] <= k, weight, 0.0)
+        return np.bincount(text, total, len(size))
+
+
 def score(docs: DataFrame, order: int = 2, mu: float = 50.0, modulus: int = 7, remainder: int = 2) -> DataFrame:
     """A row for each of `docs` (doc_id, text), scored by a model of those not held out: crc32(doc_id) % modulus is
     not remainder."""
@@ -102,19 +172,30 @@ def score(docs: DataFrame, order: int = 2, mu: float = 50.0, modulus: int = 7, r
         counts, sums = np.concatenate([x[0] for x in got]).astype(float), np.sum([x[1] for x in got], axis=0)
         size, kinds = float(sums[0]), float(sums[1])
         index = T.Index(np.unique(np.concatenate([np.unique(k) for *_, keys, _ in _keys(docs, order) for k in keys])))
-        docs_trained = counts[index.find(np.array([END & ~np.uint64(1)]))][0]  # contexts of the first tokens
-        parts = []
+        known = np.append(counts, counts[index.find(np.array([END & ~np.uint64(1)]))][0])  # a text starts as often as one ends
+        n = len(counts)
+        model, parts = Automaton(n, order, known, mu), []
         for *_, first, last, keys, place in _keys(docs, order):
-            c = [counts[index.find(k)] for k in keys]
-            p = (c[0] + 1) / (size + 1 * (kinds + 1))
+            at = [index.find(k) for k in keys]
+            p = (counts[at[0]] + 1) / (size + 1 * (kinds + 1))
             base = np.log10(p)
+            model.weight[at[0]] = base
+            if order > 1:
+                model.to[at[0]] = np.where(counts[at[0]] > 0, at[0], model.ROOT)
             for k in range(2, order + 1):
-                context = np.concatenate([[0.0], c[k - 2][:-1]])
-                if k == 2:
-                    context[first] = docs_trained
-                p = np.where(place >= k - 2, (c[k - 1] + mu * p) / (context + mu), p)
-            parts.append((last - first + 1, np.add.reduceat((c[0] > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(np.log10(p), first)))
-        n, known, base, mine = (np.concatenate(x) for x in zip(*parts, strict=True))
+                context = np.concatenate([[n], at[k - 2][:-1]])
+                context[first] = n
+                c = counts[at[k - 1]]
+                p = np.where(place >= k - 2, (c + mu * p) / (known[context] + mu), p)
+                seen = np.flatnonzero((place >= k - 2) & (c > 0))
+                arc = at[k - 1][seen]
+                model.weight[arc], model.context[arc], model.token[arc] = np.log10(p[seen]), context[seen], at[0][seen]
+                model.to[arc] = arc if k < order else at[order - 2][seen]
+                model.shorter[arc] = at[k - 2][seen]
+            parts.append((at[0], first, last, (counts[at[0]] > 0).astype(np.int64), base))
+        model.close()
+        made = [(last - first + 1, np.add.reduceat(seen, first), np.add.reduceat(base, first), model.scores(tok, first, last)) for tok, first, last, seen, base in parts]
+        n, known, base, mine = (np.concatenate(x) for x in zip(*made, strict=True))
         ids = docs["doc_id"]
         return pa.table({"doc_id": ids.cast(pa.int64()), "held_out": held_out(ids.to_pylist(), modulus, remainder), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), int(sums[0])), "base_score": base, "score": mine})
 
