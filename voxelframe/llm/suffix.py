@@ -13,8 +13,9 @@ A window that starts d bytes before its anchor recurs if another suffix agrees o
 backwards. Both arrays' common prefixes give the classes of agreement at each depth, and equal pairs of classes are the
 repeated windows. This is exact for all pairs, not only for neighbours.
 
-Suffixes of a gram that is found very often are dealt out by longer strings that a part of their windows shares, so that
-no task has to take all of them; equal ones are merged before they are shuffled.
+Suffixes of a gram that is found very often are not compared in one place: each of their windows is dealt out by a hash of
+its own (two independent ones, folded), and merged with equal ones before it is shuffled, so that a passage that a third
+of all documents hold is one entry a group, whatever surrounds it.
 
 Defined results: null and empty texts have no bytes; every row is a text of its own, also under a repeated or null
 doc_id; other columns are ignored; an empty table gives no rows.
@@ -33,8 +34,8 @@ from voxelframe.llm.rendezvous import Rendezvous, cuts, merge, pack, unpack
 from voxelframe.session import table
 
 GRAM, SHALLOW = 64, 96
-#: A gram is very frequent from so many suffixes on; its windows are then dealt out in so many parts.
-FREQUENT, PARTS = 20_000, 8
+#: A gram is very frequent from so many suffixes on.
+FREQUENT = 2_000
 #: Suffixes whose contexts are handled at a time.
 SLICE = 2048
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -219,20 +220,9 @@ class _Suffixes:
         """Keys in order, least and greatest distance of a window, whether there are several like it, and contexts, of
         distinct suffixes; self.use and self.entry tell whose they are."""
         kind = kind[self.index]
-        few, many = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
-        use, key = [few], [self.key[few]]
-        low, high = [self.p[few] - self.b[few]], [self.p[few] - self.a[few]]
-        step = -(-(self.reach + 1) // PARTS)
-        for d in range(0, self.reach + 1, step) if len(many) else ():
-            lo, hi = np.maximum(d, self.p[many] - self.b[many]), np.minimum(d + step - 1, self.p[many] - self.a[many])
-            own = many[lo <= hi]
-            # What all windows of this part share, if they are within the text: those that have any window are.
-            core = np.array([hash_bytes(self.buf[max(0, p - d) : p - d - step + 1 + self.width]) for p in self.p[own].tolist()], np.uint64)
-            use.append(own)
-            key.append(T.mix(core + np.uint64(d)))
-            low.append(lo[lo <= hi])
-            high.append(hi[lo <= hi])
-        use, key, low, high = (np.concatenate(x) for x in (use, key, low, high))
+        use = np.flatnonzero(kind == 1)
+        self.many = np.flatnonzero(kind == 2)
+        key, low, high = self.key[use], self.p[use] - self.b[use], self.p[use] - self.a[use]
         span = self.reach + self.width
         context = np.zeros((len(use), span), np.uint8)
         first, end = self.off[self.row[use]], self.off[self.row[use] + 1]
@@ -251,9 +241,27 @@ class _Suffixes:
         self.entry, self.use = self.entry.reshape(-1), use
         return key[at], low[at].astype(np.uint16), high[at].astype(np.uint16), (n > 1).astype(np.uint8), context[at]
 
-    def covered(self, marks: np.ndarray) -> np.ndarray:
-        """Bytes under the windows that are marked for each entry."""
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes, in order, of the windows of very frequent suffixes, and whether there are several of each;
+        self.start and self.window tell whose they are."""
+        self.start = T.take_ranges(self.a[self.many], self.b[self.many] - self.a[self.many] + 1)
+        hashes = [np.zeros(0, np.uint64)]
+        for i, j, buf, off in T.chunks(self.buf, self.off):
+            at = self.start[(self.start >= self.off[i]) & (self.start < self.off[j])] - self.off[i]
+            if len(at):
+                _, down = T.powers(len(buf) + 1)
+                one, two = ((x[at + self.width] - x[at]) * down[at] for x in (T.prefix(buf), T.prefix(T.TURN[buf])))
+                hashes.append(T.mix(T.mix(one) + two))
+        keys, self.window, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        self.window = self.window.reshape(-1)
+        return keys, (n > 1).astype(np.uint8)
+
+    def covered(self, marks: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+        """Bytes under the windows that are marked for each entry, and under repeated ones of very frequent suffixes."""
         d = np.zeros(len(self.buf) + 1, np.int32)
+        start = self.start[repeated[self.window]]
+        np.add.at(d, start, 1)
+        np.subtract.at(d, start + self.width, 1)
         for i in range(0, len(self.use), SLICE):
             s, k = np.nonzero(marks[self.entry[i : i + SLICE]])
             start = self.p[self.use[i + s]] - k
@@ -262,10 +270,6 @@ class _Suffixes:
         return np.cumsum(d[:-1], dtype=np.int32) > 0
 
 
-def hash_bytes(x: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little")
-
-
 def remove_repeats(docs: DataFrame, width: int = 400, frequent: int = FREQUENT, with_text: bool = False) -> DataFrame:
     """A row for each of `docs` (doc_id, text); with_text adds the remaining bytes."""
     if width <= GRAM:
@@ -291,15 +295,19 @@ def remove_repeats(docs: DataFrame, width: int = 400, frequent: int = FREQUENT,
         s = _Suffixes(T.rows_in_order(docs), width)
         s.first_round()
         key, *rest, context = s.second_round(kinds(answers))
-        at = cuts(key, n)
+        window, several = s.windows()
+        at, to = cuts(key, n), cuts(window, n)
         for k in range(n):
-            a, b = at[k], at[k + 1]
-            yield k, pack(key[a:b], *(x[a:b] for x in rest), context[a:b].reshape(-1))
+            a, b, own = at[k], at[k + 1], slice(to[k], to[k + 1])
+            yield k, pack(key[a:b], *(x[a:b] for x in rest), context[a:b].reshape(-1), np.diff(window[own], prepend=np.uint64(0)), several[own])
 
     def compare(_, asked):
         parts = {g: unpack(asked.pop(g)) for g in list(asked)}
-        key, low, high, several, context = (np.concatenate(x) for x in zip(*parts.values(), strict=True))
-        context, sizes = context.reshape(-1, span), {g: len(x[0]) for g, x in parts.items()}
+        window, more = (np.concatenate(x) for x in zip(*((np.cumsum(x[5], dtype=np.uint64), x[6]) for x in parts.values()), strict=True))
+        _, same, count = np.unique(window, return_inverse=True, return_counts=True)
+        again = (more > 0) | (count > 1)[same.reshape(-1)]
+        key, low, high, several, context = (np.concatenate(x) for x in zip(*(x[:5] for x in parts.values()), strict=True))
+        context, sizes = context.reshape(-1, span), {g: (len(x[0]), len(x[5])) for g, x in parts.items()}
         del parts
         _, group = np.unique(key, return_inverse=True)
         out = np.zeros((len(key), reach + 1), bool)
@@ -307,18 +315,20 @@ def remove_repeats(docs: DataFrame, width: int = 400, frequent: int = FREQUENT,
             out[own] = repeated(context[own, :reach], context[own, reach:], group.reshape(-1)[own], low[own].astype(np.int64), high[own].astype(np.int64), width)
         d = np.arange(reach + 1)
         out |= (several[:, None] > 0) & (d >= low[:, None]) & (d <= high[:, None])
-        at = 0
-        for g, size in sizes.items():
-            yield g, np.packbits(out[at : at + size], axis=1).tobytes()
-            at += size
+        at = to = 0
+        for g, (size, many) in sizes.items():
+            yield g, pack(np.packbits(out[at : at + size], axis=1).reshape(-1), again[to : to + many].view(np.uint8), rising=False)
+            at, to = at + size, to + many
 
     def finish(docs, answers):
         docs = T.rows_in_order(docs)
         s = _Suffixes(docs, width)
         s.first_round()
         s.second_round(kinds(answers))
-        packed = np.frombuffer(b"".join(p for b, p in answers.items() if b >= 1 << 24), np.uint8).reshape(-1, -(-(reach + 1) // 8))
-        gone = s.covered(np.unpackbits(packed, axis=1, count=reach + 1).astype(bool))
+        s.windows()
+        got = [unpack(p, rising=False) for b, p in answers.items() if b >= 1 << 24]
+        packed = T.joined([x[0] for x in got], np.uint8).reshape(-1, -(-(reach + 1) // 8))
+        gone = s.covered(np.unpackbits(packed, axis=1, count=reach + 1).astype(bool), T.joined([x[1] for x in got], np.uint8) > 0)
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
         first = s.off[:-1][s.off[:-1] < len(gone)]
