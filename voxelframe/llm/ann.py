@@ -11,8 +11,11 @@ exactly, by products of blocks, rather than by searching the graph that is being
 A search goes greedily down the levels and best-first on the lowest, in every shard; the shards' results are merged and
 scored by Euclidean distance in double precision.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components, vectors of another length than most
-have, and rows with a null vec_id take no part; rows of one vec_id never are each other's neighbours; ties go to smaller
+Vectors of each length have shards of their own. Queries go to a shard in blocks of bounded size, each with a task of its
+own.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null vec_id take no
+part; vectors of different lengths are no candidates for each other; rows of one vec_id never are each other's neighbours; ties go to smaller
 vec_ids; a query without other vectors has no rows; other columns are ignored; an empty table gives no rows.
 """
 
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from voxelframe.session import keep, ship, table
 
 SHARD_ROWS, LINKS, BEAM = 8192, 16, 128
+#: Query vectors that one task takes to one shard.
+BLOCK = 2048
 
 
 def diverse(candidates: np.ndarray, distance: np.ndarray, x: np.ndarray, most: int) -> list[int]:
@@ -142,20 +147,18 @@ def points(vectors: DataFrame, copies: int) -> DataFrame:
     """Distinct vectors as double arrays, and at most `copies` ids of each, the smallest."""
     usable = "vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)"
     own = vectors.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
-    length = own.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("many")).orderBy(F.desc("many"), "n").limit(1)
-    first = length.first()
-    own = own.where(F.size("v") == (first.n if first else 0))
-
     def few(batches):
         for batch in batches:
-            ids = np.asarray(batch.column("vec_id"))
-            x = np.asarray(batch.column("v").flatten()).reshape(len(ids), -1)
-            order = np.lexsort((ids, np.unique(np.ascontiguousarray(x).view(f"V{8 * x.shape[1]}").reshape(-1), return_inverse=True)[1].reshape(-1))) if len(ids) else np.zeros(0, int)
-            x, ids = x[order], ids[order]
-            head = np.ones(len(ids), bool)
-            head[1:] = (x[1:] != x[:-1]).any(1)
-            start = np.flatnonzero(head)
-            yield pa.RecordBatch.from_pydict({"v": batch.column("v").take(pa.array(order[start])), "ids": pa.array([np.unique(i)[:copies].tolist() for i in np.split(ids, start[1:])] if len(ids) else [], pa.list_(pa.int64()))}, pa.schema([("v", batch.schema.field("v").type), ("ids", pa.list_(pa.int64()))]))
+            sizes = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == size))
+                ids, x = np.asarray(part.column("vec_id")), np.asarray(part.column("v").flatten()).reshape(-1, size)
+                order = np.lexsort((ids, np.unique(np.ascontiguousarray(x).view(f"V{8 * size}").reshape(-1), return_inverse=True)[1].reshape(-1)))
+                x, ids = x[order], ids[order]
+                head = np.ones(len(ids), bool)
+                head[1:] = (x[1:] != x[:-1]).any(1)
+                start = np.flatnonzero(head)
+                yield pa.RecordBatch.from_arrays([part.column("v").take(pa.array(order[start])), pa.array([np.unique(i)[:copies].tolist() for i in np.split(ids, start[1:])], pa.list_(pa.int64()))], ["v", "ids"])
 
     merged = own.mapInArrow(few, "v array<double>, ids array<long>").groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, copies).alias("ids"))
     return merged
@@ -174,19 +177,23 @@ def build_index(vectors: DataFrame, copies: int, shard_rows: int = SHARD_ROWS, l
         t, x = t.take(pa.array(order)), np.ascontiguousarray(x[order])
         levels = Graph.build(x, links).flat()
         return pa.table({
-            "shard": pa.array([key[0].as_py()], pa.int32()), "x": pa.array([x.astype("<f8").tobytes()]), "dim": pa.array([x.shape[1]], pa.int32()),
+            "shard": pa.array([key[1].as_py()], pa.int32()), "x": pa.array([x.astype("<f8").tobytes()]), "dim": pa.array([x.shape[1]], pa.int32()),
             "ids": pa.array([t["ids"].to_pylist()], pa.list_(pa.list_(pa.int64()))), "levels": pa.array([[a.astype("<i4").tobytes() for a in levels]], pa.list_(pa.binary())),
         })
 
-    dealt = own.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    return keep(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(build, "shard int, x binary, dim int, ids array<array<long>>, levels array<binary>"), "graphs")
+    dealt = own.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    return keep(dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "shard int, x binary, dim int, ids array<array<long>>, levels array<binary>"), "graphs")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, links: int = LINKS) -> DataFrame:
     """For distinct query vectors (v array<double>), the best k found in any shard as found: array of (score, vec_id),
     in order."""
     last = index.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0]
-    asked = queries.select("v", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard"))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    block = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
+    asked = queries.select("v", F.size("v").alias("dim"), block, F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard"))
+    shards = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    task = ["dim", "shard", "block"]
 
     def look(key, shard, asked):
         rows = []
@@ -200,7 +207,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, links
                 rows.append({"v": v, "found": [{"score": a, "vec_id": b} for a, b in sorted(found)[:k]]})
         return pa.Table.from_pylist(rows, pa.schema([("v", pa.list_(pa.float64())), ("found", pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))]))
 
-    each = index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(look, "v array<double>, found array<struct<score: double, vec_id: long>>")
+    each = shards.groupBy(*task).cogroup(asked.groupBy(*task)).applyInArrow(look, "v array<double>, found array<struct<score: double, vec_id: long>>")
     return each.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
 
 
@@ -210,8 +217,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, beam: int = BEAM,
     index = build_index(vectors, k + 1, shard_rows)
     points_ = vectors.where((F.col("vec_id") % every) == 0).select(F.col("vec_id").cast("long").alias("query_id"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("v")).distinct()
     usable = points_.where("v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
-    dim = index.agg(F.max("dim")).first()[0] or 0
-    asked = keep(usable.where(F.size("v") == dim), "queries")
+    asked = keep(usable, "queries")
     found = keep(search(index, asked.select("v").distinct(), k + 1, beam), "found")
     others = asked.join(found, "v").select("query_id", F.slice(F.expr("filter(found, f -> f.vec_id <> query_id)"), 1, k).alias("found"))
     return others.select("query_id", F.posexplode("found").alias("at", "f")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "f.vec_id", "f.score")
@@ -219,12 +225,3 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, beam: int = BEAM,
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
-
-
-#: Brute force, for the fixture that the recall is measured on.
-EXACT = """
-WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
-FROM (SELECT query_id, vec_id, list_distance(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings WHERE vec_id <> query_id)
-QUALIFY rank <= 10
-"""
