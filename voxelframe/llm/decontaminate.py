@@ -1,15 +1,17 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-A benchmark item leaks into a document if a part of the document is within k edits (insert, delete, replace) of the
-whole item, both with A-Z lower-cased and white space drawn together. Such a part shares at least m + 1 - q - k * q
-q-grams with an item of m bytes, and all of these on at most k + 1 neighbouring diagonals (place in the document less
-place in the item). Diagonals are covered by bands of twice that width that overlap by half, shared q-grams are counted
-by document, item and band, and only bands with enough of them are aligned, along those diagonals.
+A benchmark item leaks into a document if a part of the document is within k edits (insert, delete, replace a character)
+of the whole item, both with A-Z lower-cased and white space drawn together; k is `rate` of the item's length in
+characters. Such a part shares at least m + 1 - q - k * q q-grams with an item of m characters, and all of these on at
+most k + 1 neighbouring diagonals (place in the document less place in the item). Diagonals are covered by bands of twice
+that width that overlap by half, shared q-grams are counted by document, item and band, and only bands with enough of
+them are aligned, along those diagonals.
 
-k is `rate` of the item's length, less for short items, so that the lemma always asks for a common q-gram. Items of
-fewer than q bytes can't be told from chance and are never found.
+q is 8, and less for items so short that the lemma would not ask for a common q-gram: then it is m / (k + 1), for which it
+asks for one. So items of every length have the same edit rate.
 
-The items are read in blocks of bounded size; every block runs over all the documents.
+The items are read in blocks of bounded size; every block runs over all the documents. Equal q-grams are counted some at
+a time, so that an item and a document that repeat the same few characters take time but no memory.
 
 Defined results: null and empty texts and items, and items with a null item_id, match nothing; a null doc_id is reported
 as null; rows with one doc_id are searched each, equal findings are reported once; equal items under different item_ids
@@ -31,11 +33,14 @@ from voxelframe.session import ship, table
 Q, RATE = 8, 0.1
 #: Bytes of items in a block.
 ITEM_BYTES = 8 << 20
+#: Pairs of equal q-grams that are counted at a time, and characters and band widths that are aligned at a time.
+SOME, CELLS = 1 << 18, 1 << 19
 SCHEMA = "doc_id long, item_id long, edits int, start long, end long"
 
 
 def normal(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case, each run of white space one space, none at a row's ends; offsets, and the bytes' old places."""
+    """Code points, lower-case, each run of white space one space, none at a row's ends; offsets, and the places of the
+    code points in the bytes, with that of the end."""
     space = T.SPACE[buf]
     keep = ~space
     again = space.copy()  # white space after a word: its first byte stays
@@ -48,95 +53,127 @@ def normal(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     again[tail] = False
     at = np.flatnonzero(keep | again)
     out = np.where(space[at], np.uint8(32), T.LOWER[buf[at]])
-    return out, np.searchsorted(at, off), at
+    whole = (out & 0xC0) != 0x80  # the first byte of a code point
+    text = np.frombuffer(out.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    return text, np.concatenate([[0], np.cumsum(whole)])[np.searchsorted(at, off)], at[whole]
 
 
-def grams(buf: np.ndarray) -> np.ndarray:
-    """Every 8 bytes as a number."""
-    x = buf.astype(np.uint64)
-    for k in (1, 2, 4):
-        if len(x) <= k:
-            return np.zeros(0, np.uint64)
-        x = x[:-k] | (x[k:] << np.uint64(8 * k))
-    return x
+def grams(text: np.ndarray, q: int) -> np.ndarray:
+    """The hash of every q code points."""
+    return T.windows(T.mix(text.astype(np.uint64)), q)
 
 
 class Items:
     def __init__(self, ids: list[int], texts: list[str], rate: float = RATE):
-        buf, off, _ = normal(*T.flat(pa.array(texts, pa.string())))
-        size = np.diff(off)
-        self.ids, self.texts = ids, [buf[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
-        self.size = size
-        self.k = np.maximum(0, np.minimum((rate * size).astype(np.int64), (size - Q) // Q))
-        self.need = np.maximum(1, size + 1 - Q - self.k * Q)
-        g = grams(buf)
-        place = np.arange(len(g))
-        item = np.searchsorted(off, place, "right") - 1
-        own = place + Q <= off[item + 1]
-        g, item, place = g[own], item[own], place[own] - off[item[own]]
-        order = np.argsort(g, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.keys, self.first, self.many = np.unique(g[order], return_index=True, return_counts=True)
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[self._spot(self.keys)] = True
+        text, off, _ = normal(*T.flat(pa.array(texts, pa.string())))
+        some = np.flatnonzero(np.diff(off) > 0)
+        self.ids, self.codes = [ids[k] for k in some.tolist()], [text[off[k] : off[k + 1]] for k in some.tolist()]
+        self.texts = [x.tobytes().decode("utf-32-le") for x in self.codes]
+        self.size = size = np.diff(off)[some]
+        self.k = (rate * size + 1e-9).astype(np.int64)
+        self.q = np.where(size + 1 - Q - self.k * Q >= 1, Q, size // (self.k + 1))
+        self.need = size + 1 - self.q - self.k * self.q
+        self.tables = {}
+        for q in np.unique(self.q).tolist():
+            own = np.flatnonzero(self.q == q)
+            parts = [grams(self.codes[k], q) for k in own.tolist()]
+            many = np.array([len(x) for x in parts])
+            g, item, place = np.concatenate(parts), np.repeat(own, many), np.concatenate([np.arange(n) for n in many])
+            order = np.argsort(g, kind="stable")
+            keys, first, many = np.unique(g[order], return_index=True, return_counts=True)
+            seen = np.zeros(1 << 22, bool)
+            seen[self._spot(keys)] = True
+            self.tables[q] = (keys, first, many, item[order], place[order], seen)
 
     @staticmethod
     def _spot(g: np.ndarray) -> np.ndarray:
-        return (g * T.STEP) >> np.uint64(42)
-
-    def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in g, items, and places in the items, of all equal q-grams."""
-        if not len(self.keys) or not len(g):
-            z = np.zeros(0, np.int64)
-            return z, z, z
-        near = np.flatnonzero(self.seen[self._spot(g)])
-        at = np.minimum(np.searchsorted(self.keys, g[near]), len(self.keys) - 1)
-        hit = self.keys[at] == g[near]
+        return g >> np.uint64(42)
+
+    def hits(self, g: np.ndarray, q: int):
+        """Places in g, items, and places in the items, of all equal q-grams, some at a time."""
+        keys, first, many, item, place, seen = self.tables[q]
+        near = np.flatnonzero(seen[self._spot(g)])
+        at = np.minimum(np.searchsorted(keys, g[near]), len(keys) - 1)
+        hit = keys[at] == g[near]
         near, at = near[hit], at[hit]
-        n = self.many[at]
-        own = T.take_ranges(self.first[at], n)
-        return np.repeat(near, n), self.item[own], self.place[own]
+        total = np.cumsum(many[at])
+        for low in range(0, int(total[-1]) if len(total) else 0, SOME):
+            k = np.arange(low, min(low + SOME, int(total[-1])))
+            own = np.searchsorted(total, k, "right")
+            entry = first[at[own]] + k - (total[own] - many[at[own]])
+            yield near[own], item[entry], place[entry]
+
+    def bands(self, text: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """(row, item, band) that share enough q-grams. A band is named by its upper half's number."""
+        step = int((np.diff(cut).max(initial=0) + self.size.max(initial=0))) + 2  # more than any diagonal
+        out = [np.zeros((0, 3), np.int64)]
+        for q in self.tables:
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for place, item, other in self.hits(grams(text, q), q):
+                row = np.searchsorted(cut, place, "right") - 1
+                inside = place + q <= cut[row + 1]
+                place, item, other, row = place[inside], item[inside], other[inside], row[inside]
+                # The diagonal, from 0 on; every k + 1 neighbouring ones are in one half of two bands.
+                half = (place - cut[row] - other + self.size[item]) // (self.k[item] + 1)
+                found.append(np.unique((row * len(self.ids) + item) * step + half, return_counts=True))
+                if len(found) > 8:
+                    found = [self._summed(found)]
+            code, n = self._summed(found)
+            code, n = self._summed([(code, n), (code + 1, n)])
+            pair, band = np.divmod(code, step)
+            row, item = np.divmod(pair, max(1, len(self.ids)))
+            own = n >= self.need[item]
+            out.append(np.stack([row[own], item[own], band[own]], axis=1))
+        return np.concatenate(out)
+
+    @staticmethod
+    def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        code, index = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return code, np.bincount(index.reshape(-1), np.concatenate([n for _, n in parts]), len(code)).astype(np.int64)
 
     def find(self, buf: np.ndarray, off: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(row, item) to (edits, start, end) of the best place, in bytes of the row."""
+        if not self.ids:
+            return {}
         text, cut, old = normal(buf, off)
-        whole = text.tobytes()
-        g = grams(text)
-        place, item, other = self.hits(g)
-        row = np.searchsorted(cut, place, "right") - 1
-        inside = place + Q <= cut[row + 1]
-        place, item, other, row = place[inside], item[inside], other[inside], row[inside]
-        # The diagonal, from 0 on; every k + 1 neighbouring ones are in one band.
-        diagonal = place - cut[row] - other + self.size[item]
-        band = diagonal // (self.k[item] + 1)
-        bands = int(band.max(initial=0)) + 2
-        code = (row * len(self.ids) + item) * bands + band
-        code, n = np.unique(np.concatenate([code, code + 1]), return_counts=True)
-        item = code // bands % len(self.ids)
-        good = n >= self.need[item]
+        found = self.bands(text, cut)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         rest = []
-        for c in code[good].tolist():
-            pair, b = divmod(c, bands)
-            r, i = divmod(pair, len(self.ids))
+        for r, i, b in sorted(map(tuple, found.tolist())):
             k, m = int(self.k[i]), int(self.size[i])
             low = (b - 1) * (k + 1) - m - k  # the least diagonal that a part with hits in the band may reach
             first, end = int(cut[r]) + max(0, low), min(int(cut[r + 1]), int(cut[r]) + low + 4 * k + 2 + m)
-            at = whole.find(self.texts[i], first, end)
+            at = text[first:end].tobytes().decode("utf-32-le").find(self.texts[i]) if end > first else -1
             if at >= 0:
-                best[r, i] = (0, at, at + m)
+                best[r, i] = min(best.get((r, i), (1, 0, 0)), (0, first + at, first + at + m))
             elif k:
                 rest.append((r, i, int(cut[r]) + low, int(cut[r]), int(cut[r + 1])))
         rest = [x for x in rest if (x[0], x[1]) not in best]
-        for k in range(0, len(rest), 256):
-            for (r, i, *_), found in zip(rest[k : k + 256], self.align(text, rest[k : k + 256]), strict=True):
-                if found[0] <= self.k[i] and ((r, i) not in best or found < best[r, i]):
-                    best[r, i] = found
-        return {(r, i): (e, int(old[a] - off[r]), int(old[z - 1] + 1 - off[r])) for (r, i), (e, a, z) in best.items()}
+        rest.sort(key=lambda x: -self.size[x[1]])
+        at = 0
+        while at < len(rest):
+            m = int(self.size[rest[at][1]])  # cells of a batch are bounded
+            own = rest[at : at + max(1, CELLS // (2 * m + 4 * int(self.k[rest[at][1]])))]
+            at += len(own)
+            for (r, i, *_), one in zip(own, self.align(text, own), strict=True):
+                if one[0] <= self.k[i] and ((r, i) not in best or one < best[r, i]):
+                    best[r, i] = one
+        after = np.append(old[1:], off[-1])  # where the next code point begins; white space may be before it
+        return {(r, i): (e, int(old[a] - off[r]), int(self._end(buf, old[z - 1], after[z - 1]) - off[r])) for (r, i), (e, a, z) in best.items()}
+
+    @staticmethod
+    def _end(buf: np.ndarray, first: int, limit: int) -> int:
+        """The end of the code point that begins at a byte."""
+        end = first + 1
+        while end < limit and buf[end] & 0xC0 == 0x80:
+            end += 1
+        return end
 
     def align(self, text: np.ndarray, todo: list[tuple[int, ...]]) -> list[tuple[int, int, int]]:
         """For (row, item, place of the band's least diagonal, row's first and end place): the least edits between the
-        item and a part of the row within the band, and that part. All are taken down their items' bytes together;
+        item and a part of the row within the band, and that part. All are taken down their items' characters together;
         a cell holds the edits in its upper half and where the part starts below."""
         item = np.array([x[1] for x in todo])
         order = np.argsort(-self.size[item], kind="stable")
@@ -144,10 +181,10 @@ class Items:
         size, width = self.size[item], 4 * int(self.k[item].max()) + 2
         one, never = np.int64(1) << 32, np.int64(1) << 60
         at = low[:, None] + np.arange(width + int(size[0]))
-        data = np.where((at >= first[:, None]) & (at < end[:, None]), text[np.clip(at, 0, len(text) - 1)], 0)
-        of = np.zeros((len(item), int(size[0])), np.uint8)
+        data = np.where((at >= first[:, None]) & (at < end[:, None]), text[np.clip(at, 0, len(text) - 1)], np.uint32(0xFFFFFFFF))
+        of = np.zeros((len(item), int(size[0])), np.uint32)
         for k, i in enumerate(item.tolist()):
-            of[k, : size[k]] = np.frombuffer(self.texts[i], np.uint8)
+            of[k, : size[k]] = self.codes[i]
         step = np.arange(width, dtype=np.int64) << 32
         at = at[:, :width]
         line = np.where((at >= first[:, None]) & (at <= end[:, None]), at, never)
