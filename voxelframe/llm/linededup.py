@@ -4,10 +4,13 @@ The store holds 128-bit hashes of the lines seen so far in sorted runs, like a l
 documents is merge-anti-joined with all the runs, lines that a run has are dropped, and the batch's own new hashes make
 a run of level 0. When a level has `fanout` runs, they are merged into one of the next level. Runs are tables bucketed
 and sorted by hash, so a batch is shuffled to the runs and the runs stay where they are. Batches are ranges of doc_id
-in ascending order, so what a run knows comes from smaller doc_ids.
+in ascending order, so what a run knows comes from smaller doc_ids. A batch takes about `batch_bytes` of the input, so
+their number grows with it and that of the runs with its logarithm. A store that the caller gives stays: the next corpus,
+whose doc_ids are larger, is then held against all before.
 
 Defined results: a null or empty text is one empty line; a null doc_id takes no part and loses no lines; rows of one
-doc_id are one document (each row is returned); other columns are ignored; an empty table gives no rows.
+doc_id are one document (each row is returned); other columns are ignored or, with_text, kept whatever their names, and
+n_chars, if there is one, is counted anew; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ from pyspark.sql import functions as F
 
 from voxelframe.llm import text as T
 from voxelframe.llm.rendezvous import Rendezvous
-from voxelframe.session import keep, scratch, ship, shuffle_partitions, table
+from voxelframe.session import input_bytes, keep, scratch, ship, shuffle_partitions, table
 
 SCHEMA = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
 SECOND = np.uint64(0xA0761D6478BD642F)
+#: Bytes of input files that one batch takes; there are three batches at least.
+BATCH_BYTES = 64 << 30
 
 
 def lines(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -123,7 +128,7 @@ class LineStore:
 
 def batches_of(rows: DataFrame, n: int) -> list[DataFrame]:
     """Ranges of doc_id of about equal numbers of rows, in ascending order."""
-    edges = sorted(set(rows.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.02))) if n > 1 else []
+    edges = sorted(set(rows.approxQuantile("doc_id", [k / n for k in range(1, n)], min(0.02, 0.25 / n)))) if n > 1 else []
     bounds = [None, *map(int, edges), None]
     out = []
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
@@ -132,32 +137,52 @@ def batches_of(rows: DataFrame, n: int) -> list[DataFrame]:
     return out
 
 
-def drop_repeats(docs: DataFrame, least: int = 10, batches: int = 3, fanout: int = 2, with_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, least: int = 10, batches: int | None = None, fanout: int = 2, with_text: bool = False, store: LineStore | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """A row for each of `docs` (doc_id, text): doc_id and digests of the lines that stay. with_text instead keeps all
-    columns of docs, which has n_chars, and replaces the text."""
+    columns of docs, and replaces the text."""
     spark = docs.sparkSession
     ship(spark)
     found = keep(hashed_lines(docs, least), "lines")
-    store = LineStore(spark, shuffle_partitions(spark), fanout)
-    dropped = reduce(DataFrame.unionByName, [store.add(b) for b in batches_of(found, batches)])
-    store.close()
-    columns = docs.columns if with_text else ["doc_id", "text"]
-    r = Rendezvous(docs, columns)
-    where = F.pmod(F.xxhash64("doc_id"), F.lit(r.n)).cast("int").alias("grp")
-    gone = dropped.select("h", "g", "doc_id", where).repartitionById(r.n, "grp")
+    runs = store or LineStore(spark, shuffle_partitions(spark), fanout)
+    try:
+        n = batches or max(3, -(-input_bytes(docs) // batch_bytes))
+        dropped = reduce(DataFrame.unionByName, [runs.add(b) for b in batches_of(found, n)])
+    finally:
+        if store is None:
+            runs.close()
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if with_text else []
+    r = Rendezvous(docs, others)
+    gone = dropped.select("h", "g", "doc_id", r.group_of(F.col("doc_id")).alias("grp")).repartitionById(r.n, "grp")
 
     def key(doc, h, g):
         return T.mix(T.mix(h ^ T.mix(doc.view(np.uint64))) + g)
 
+    columns = docs.columns
+
     def finish(docs, gone):
         ids = np.asarray(docs["doc_id"].cast(pa.int64()).fill_null(0))
         named = np.asarray(docs["doc_id"].is_valid())
-        bad = np.unique(key(*(np.ascontiguousarray(np.asarray(gone[c]).astype(np.int64)).view(np.uint64) for c in ("doc_id", "h", "g"))))
+        wanted = [np.ascontiguousarray(np.asarray(gone[c]).astype(np.int64)) for c in ("doc_id", "h", "g")]
+        bad = key(*(x.view(np.uint64) for x in wanted))
+        order = np.argsort(bad)
+        bad, wanted = bad[order], [x[order] for x in wanted]
+
+        def dropped(*line):
+            """Whether a line is one of those, by the whole of both hashes and the doc_id."""
+            mixed, hit = key(*(x.view(np.uint64) for x in line)), np.zeros(len(line[0]), bool)
+            at, left = np.searchsorted(bad, mixed), np.arange(len(mixed))
+            while len(left):
+                left = left[(at[left] < len(bad)) & ~hit[left]]
+                left = left[bad[at[left]] == mixed[left]]
+                hit[left] = np.all([x[at[left]] == y[left] for x, y in zip(wanted, line, strict=True)], axis=0)
+                at[left] += 1
+            return hit
+
         texts, total, out = [], [], []
         for i, j, buf, off in T.chunks(*T.flat(docs["text"])):
             start, end, row, long, h, g = lines(buf, off, least)
             drop = long & named[row + i]
-            drop[drop] = np.isin(key(ids[row[drop] + i], h[drop], g[drop]), bad)
+            drop[drop] = dropped(np.ascontiguousarray(ids[row[drop] + i].astype(np.int64)), h[drop].view(np.int64), g[drop].view(np.int64))
             total.append(np.bincount(row, minlength=j - i))
             out.append(np.bincount(row, drop, j - i).astype(np.int64))
             s, e, kept = start[~drop], end[~drop], row[~drop]
@@ -171,10 +196,13 @@ def drop_repeats(docs: DataFrame, least: int = 10, batches: int = 3, fanout: int
             raw = data.tobytes()
             texts += [raw[a : max(a, b - 1)] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         if with_text:
-            made = docs.drop_columns(["grp"]) if "grp" in docs.column_names else docs
             new = pa.array(texts, pa.binary()).cast(pa.string())
-            made = made.set_column(made.column_names.index("text"), "text", new)
-            return made.set_column(made.column_names.index("n_chars"), "n_chars", pa.compute.utf8_length(new).cast(pa.int64())).select(columns)
+            made = {"doc_id": docs["doc_id"], "text": new}
+            if others:
+                made |= zip(others, docs["others"].combine_chunks().flatten(), strict=True)
+            if "n_chars" in made:
+                made["n_chars"] = pa.compute.utf8_length(new).cast(made["n_chars"].type)
+            return pa.table([made[c] for c in columns], names=columns)
         return pa.table({"doc_id": docs["doc_id"].cast(pa.int64()), "n_lines": T.joined(total, np.int64), "n_dropped": T.joined(out, np.int64), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())})
 
     from pyspark.sql import types as S

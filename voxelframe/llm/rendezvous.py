@@ -74,15 +74,18 @@ def cuts(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 class Rendezvous:
-    """Groups of the rows of `docs`, which has doc_id and text."""
+    """Groups of the rows of `docs`, which has doc_id and text; `others` are further columns, kept in the struct `others`."""
 
-    def __init__(self, docs: DataFrame, columns: Iterable[str] = ("doc_id", "text"), group_bytes: int = GROUP_BYTES):
+    def __init__(self, docs: DataFrame, others: Iterable[str] = (), group_bytes: int = GROUP_BYTES):
         spark = docs.sparkSession
         ship(spark)
         size = input_bytes(docs)
         self.n = max(shuffle_partitions(spark), int(size / max(group_bytes, (size * BLOCK_BYTES) ** 0.5)) + 1)
-        where = F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text")))
-        self.docs = docs.select(*columns, F.pmod(where, F.lit(self.n)).cast("int").alias("grp")).repartitionById(self.n, "grp")
+        more = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("others")] if others else []
+        self.docs = docs.select("doc_id", "text", *more, self.group_of(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).alias("grp")).repartitionById(self.n, "grp")
+
+    def group_of(self, doc_id):
+        return F.pmod(F.xxhash64(doc_id), F.lit(self.n)).cast("int")
 
     def ask(self, fn: Callable, answers: DataFrame | None = None) -> DataFrame:
         """fn(documents, answers by bucket) gives sorted distinct uint64 keys and any arrays that go with them, or
