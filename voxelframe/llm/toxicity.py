@@ -5,8 +5,8 @@ beginnings; a document's is the noisy-or of its sentences, 1 - prod(1 - p). Both
 documents' labels, so the blame settles on sentences, which `locate` returns.
 
 The model is fitted on at most `per_class` labelled documents of either class, those of least hash (a documented bound);
-its features are those that are significantly more frequent in toxic documents of that sample, at most `features`. What
-is significant depends on the sample's size, see `fit`. Every text is scored whole. Labels, lang, source and doc_id are no inputs of a score.
+its features are all that are significantly more frequent in toxic documents of that sample. What is significant depends
+on how many features are tried, see `fit`. Every text is scored whole. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: null and empty texts have no sentence and score 0; a null doc_id is not held out; a doc_id with several
 labels is toxic if one of them is; null labels are none; repeated rows are scored each; without labels of both classes
@@ -113,9 +113,9 @@ def _weigh(toxic: np.ndarray, sizes: np.ndarray, flat: np.ndarray, doc_of: np.nd
     return x
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, features: int = 4096, limit: float = 14.0, modulus: int = 4, remainder: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, modulus: int = 4, remainder: int = 2) -> Model:
     """Learn from `labels` (doc_id, toxic) of those of `docs` (doc_id, text) whose crc32(doc_id) % modulus is not
-    remainder. limit is the gain that suffices in any sample; small ones, which try fewer features, need less."""
+    remainder."""
     ship(docs.sparkSession)
     sample = keep(_sample(docs, labels, per_class, modulus, remainder), "toxic-sample")
     classes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -138,15 +138,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, features: int
 
     found = sample.select("text", "toxic").mapInArrow(count, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     # Significance of the share of toxic documents among those with the feature, as n * KL divergence from their share
-    # of the sample: chance alone exceeds the limit for about one in e**limit features. So CHANCE of the tried ones pass
-    # log(tried / CHANCE), which grows with the sample up to the given limit.
+    # of the sample: chance alone exceeds a gain for about one in e**gain features. So of those that TRIED toxic documents
+    # have, CHANCE pass log(tried / CHANCE) by chance.
     n, base = F.col("bad") + F.col("good"), classes[1] / (classes[0] + classes[1])
     q = F.col("bad") / n
     gain = F.col("bad") * F.log(q / base) + F.when(F.col("good") > 0, F.col("good") * F.log((F.col("good") / n) / (1 - base))).otherwise(0.0)
-    found = keep(found.where(F.col("bad") > 0).withColumn("gain", gain).where((F.col("bad") >= TRIED) | (F.col("gain") > limit)), "toxic-features")
-    tried = found.where(F.col("bad") >= TRIED).count()
-    least = min(limit, float(np.log(max(1.0, tried / CHANCE))))
-    chosen = found.where(q > 2 * base / (1 + base)).where(F.col("gain") > least).orderBy(F.desc("gain"), "feature").limit(features).select("feature")
+    found = keep(found.where(F.col("bad") >= TRIED).withColumn("gain", gain), "toxic-features")
+    least = float(np.log(max(1.0, found.count() / CHANCE)))
+    # At most the distinct features of per_class toxic documents, and of these the significant ones.
+    chosen = found.where(q > 2 * base / (1 + base)).where(F.col("gain") > least).select("feature")
     keys = np.sort(np.array([r.feature for r in chosen.collect()], np.int64).view(np.uint64))
     if not len(keys):
         return Model(keys, np.zeros(0), BIAS)
