@@ -80,7 +80,7 @@ def test_substring(docs):
         substring.remove_repeats(docs, width=10)
 
 
-@pytest.mark.parametrize("frequent", [2, suffix.FREQUENT])
+@pytest.mark.parametrize("frequent", [1, 2, suffix.FREQUENT])
 def test_suffix(docs, frequent):
     texts = [(i, (t or "").encode()) for i, t in corpus()]
     count = Counter(t[k : k + 400] for _, t in texts for k in range(len(t) - 399))
@@ -190,6 +190,46 @@ def test_language_model(docs, order):
         assert tuple(g)[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
+def test_automaton_follows_arcs_and_failures(spark):
+    """Against an automaton of dictionaries that reads token by token, over texts of many stretches."""
+    rng = np.random.RandomState(5)
+    docs = [(i, " ".join(f"w{k}" for k in rng.zipf(1.6, n) % 30)) for i, n in enumerate([0, 1, 5, 255, 256, 257, 700, 1500])]
+    order, mu = 3, 2.0
+    toks = [(i, ["<s>", *WORDS.findall(low(t)), "</s>"]) for i, t in docs]
+    counts = Counter()
+    for i, w in toks:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts["<s>",] += 1
+            for k in range(1, order + 1):
+                counts.update(tuple(w[j - k + 1 : j + 1]) for j in range(1, len(w)) if j - k + 1 >= 0)
+    uni = {g[0]: c for g, c in counts.items() if len(g) == 1 and g != ("<s>",)}
+    total = sum(uni.values())
+    weight = {}  # (state, token) to log10 weight
+
+    def p(g):
+        if len(g) == 1:
+            return (uni.get(g[0], 0) + 1) / (total + len(uni) + 1)
+        return (counts[g] + mu * p(g[1:])) / (counts[g[:-1]] + mu)
+
+    for g in counts:
+        if len(g) > 1:
+            weight[g[:-1], g[-1]] = math.log10(p(g))
+    want = {}
+    for i, w in toks:
+        state, score = ("<s>",), 0.0
+        for token in w[1:]:
+            while state and (state, token) not in weight:
+                score += math.log10(mu / (counts[state] + mu))  # the failure arc
+                state = state[1:]
+            score += weight[state, token] if state else math.log10(p((token,)))
+            state = (*state, token)[-(order - 1) :]
+            while state and not counts[state]:
+                state = state[1:]
+        want[i] = score
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string"), order=order, mu=mu).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_models_are_normalised():
     """The weights of a state's arcs, with what the failure arc leaves, sum to one."""
     uni, n, mu = Counter("a b a c".split()), 4, 50.0

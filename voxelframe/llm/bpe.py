@@ -358,7 +358,7 @@ def decode(ids: np.ndarray, vocab: Vocabulary) -> tuple[bytes, np.ndarray]:
 
 def encode_decode(docs: DataFrame, path: str | None = None, with_text: bool = False) -> DataFrame:
     """A row for each of `docs` (doc_id, text): digests of its ids and of the text decoded from them. with_text instead
-    keeps all columns and replaces text by the decoded text, with the column n_tokens added."""
+    keeps all columns and replaces text by the decoded text, with the column n_tokens added (in place of one of that name)."""
     ship(docs.sparkSession)
     path = path or default_path()
 
@@ -374,7 +374,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_text: bool = Fa
                 texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(at[cut[:-1]].tolist(), at[cut[1:]].tolist(), strict=True)]
                 part = columns.slice(i, j - i)
                 if with_text:
-                    out = part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).append_column("n_tokens", pa.array(n))
+                    out = part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+                    out = out.drop_columns(["n_tokens"] if "n_tokens" in out.column_names else []).append_column("n_tokens", pa.array(n))
                 else:
                     raw = ids.astype("<u4").tobytes()
                     out = pa.table({
@@ -387,7 +388,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_text: bool = Fa
     if with_text:
         from pyspark.sql import types as S
 
-        return docs.mapInArrow(run, S.StructType([*docs.schema.fields, S.StructField("n_tokens", S.LongType())]))
+        return docs.mapInArrow(run, S.StructType([*(f for f in docs.schema.fields if f.name != "n_tokens"), S.StructField("n_tokens", S.LongType())]))
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 

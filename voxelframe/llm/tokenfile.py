@@ -30,7 +30,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from voxelframe.llm import bpe
 from voxelframe.llm import text as T
@@ -241,14 +242,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
 
 def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
     """A row for each document of the files: where it starts among all ids, its number of ids and their crc32."""
-    # One small row for each file, as in any table's manifest.
-    files = sorted(manifest.collect(), key=lambda r: r.part)
-    begin, rows = 0, []
-    for f in files:
-        rows.append((f.path, begin))
-        begin += f.n_tokens
-    if not rows:
-        return spark.createDataFrame([], READ)
+    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = manifest.select("path", before.alias("begin"))  # a small row for each file
 
     def run(batches):
         store, _ = fs.FileSystem.from_uri(folder)
@@ -264,8 +259,7 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
                             "ids_crc32": pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.int64()),
                         })
 
-    paths = spark.createDataFrame(rows, "path string, begin long").repartitionByRange(len(rows), "begin")
-    return paths.mapInArrow(run, READ)
+    return files.repartitionByRange(max(1, manifest.count()), "begin").mapInArrow(run, READ)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
