@@ -1,13 +1,16 @@
 """A corpus pipeline of five of the training-data operators: from raw documents to clean ones with token counts.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents. The SQL equivalent is None: no SQL trains the classifier
-or encodes by BPE; tests hold the stages against plain Python.
+stage's docs. All but the last return the columns of documents, also further ones, whatever their names. Rows of a null
+doc_id, of null and empty texts pass all stages but for what their text does; rows of one doc_id are one document for the
+near-copies, which stays if one of its texts does. The SQL equivalent is None: no SQL trains the classifier or encodes by
+BPE; tests hold run() against plain Python.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxelframe.llm import bpe, decontaminate, linededup, neardup, toxicity
 from voxelframe.session import keep, table
@@ -25,7 +28,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8), the one of the smallest doc_id."""
-    lost = neardup.near_duplicates(docs, k=5, percent=80).where("NOT kept").select("doc_id")
+    found = neardup.near_duplicates(docs, k=5, percent=80).where("doc_id IS NOT NULL")
+    lost = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
     return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
 
 

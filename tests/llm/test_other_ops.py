@@ -1,20 +1,16 @@
 """Tokens, token files, toxicity, decontamination, neighbours and the pipeline."""
 
 import hashlib
-import os
 import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from voxelframe.llm import ann, bpe, decontaminate, tokenfile, toxicity
 from voxelframe.llm import text as T
 
-DIR = "/root/testdata/sf0.001"
-HERE = os.path.isdir(DIR)
 ODD = [None, "", " ", "\n\n x", "a   b", "hello<|endoftext|> world  ", "don't   stop\t\t\nit'll", "日本語 テキスト 1234 !!", "x" * 300, " " * 50 + "y", "\x1c a \x1f", "é\xa0\xa0 　z  q", "🙂🙂 zz"]
 
 
@@ -229,18 +225,3 @@ def test_words_and_spans():
     buf, off = T.flat(pa.array(["a bc", None, "", "  dé "]))
     s, e, row = T.spans(buf, off)
     assert [bytes(buf[a:b]).decode() for a, b in zip(s, e, strict=True)] == ["a", "bc", "dé"] and row.tolist() == [0, 0, 3]
-
-
-@pytest.mark.skipif(not HERE, reason="no test tables here")
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    columns = docs.columns
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        before = {r.doc_id for r in docs.collect()}
-        docs = stage(spark, docs, DIR).cache()
-        assert {r.doc_id for r in docs.collect()} <= before
-        assert docs.columns == columns if k < 4 else set(columns) < set(docs.columns)
-    assert docs.where(F.length("text") != F.col("n_chars")).count() == 0
-    assert docs.count() > 100
