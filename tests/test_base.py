@@ -107,6 +107,16 @@ def test_readers(spark):
     assert (x.toarray() == np.outer([1, 2, 3], np.arange(4))).all()
     y = readers.images_from_list(spark, [np.eye(3), np.ones((3, 3))], labels=np.array([5, 6]))
     assert y.shape == (2, 3, 3) and y.labels().tolist() == [5, 6]
+    z = readers.images_from_list(spark, ["b", "a"], accessor=lambda c: np.full((2, 2), ord(c)), keys=[(7,), (3,)], dims=(2, 2), dtype="int16")
+    assert z.dtype == np.int16 and z.toarray()[:, 0, 0].tolist() == [97, 98]
+    with pytest.raises(ValueError):
+        readers.images_from_list(spark, [np.eye(2)], keys=[1, 2])
+    with pytest.raises(ValueError):
+        readers.images_from_list(spark, [np.eye(2)], dims=(3, 3))
+    pairs = spark.sparkContext.parallelize([(1, np.arange(3)), (0, np.arange(3) + 5)], 2)
+    assert readers.from_rdd(spark, pairs, "series", index=[4, 5, 6]).select(5).toarray().tolist() == [6, 1]
+    pairs = spark.sparkContext.parallelize([((k,), np.eye(2) * k) for k in range(3)], 2)
+    assert readers.from_rdd(spark, pairs, "images", shape=(3, 2, 2), labels=np.arange(3)).shape == (3, 2, 2)
     with pytest.raises(ValueError):
         readers.images_from_array(spark, [np.eye(2), np.eye(3)])
     with pytest.raises(ValueError):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxelframe import catalogue
 from voxelframe.functions import kernels as K
-from voxelframe.sources import listing, readers
+from voxelframe.sources import listing, objects, readers
 
 
 def test_codecs():
@@ -149,6 +149,62 @@ def test_whole_tables_come_back(spark, name):
     assert catalogue.queries()[name](spark, d).count() == n * 64
 
 
+def test_splits(spark, tmp_path):
+    """Files of many splits: records keep the order of files and of lines or bytes."""
+    a = np.arange(3000 * 4, dtype="int32").reshape(3000, 4)
+    for k, part in enumerate(np.split(a, [700, 701])):
+        (tmp_path / f"{k}.txt").write_text("\n".join(" ".join(map(str, r)) for r in part) + "\n")
+        part.tofile(tmp_path / f"{k}.bin")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        x = readers.series_from_text(spark, str(tmp_path))
+        assert x.shape == (3000, 4) and (x.toarray() == a).all()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert (readers.series_from_binary(spark, str(tmp_path), shape=(3000, 4), dtype="int32").toarray() == a).all()
+
+
+def test_objects(spark, tmp_path):
+    assert objects.uri_to_path("file:///a/b c") == "/a/b c" and objects.uri_to_path("/a/b") == "/a/b"
+    with pytest.raises(ValueError):
+        objects.uri_to_path("file://a/b")
+    p = objects.Place.parse("s3://bucket/some/key*.bin")
+    assert (p.scheme, p.bucket, p.prefix, p.postfix) == ("s3", "bucket", "some/key", ".bin") and p.uri == "s3://bucket/some/key*.bin"
+    assert objects.Place.parse("/a/b") == objects.Place("", "", "/a/b", None) and objects.Place.parse("/a/b").uri == "/a/b"
+    with pytest.raises(ValueError):
+        objects.Place.parse("gs://b/*/x*")
+    data = bytes(range(256)) * 10
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    for name in ("d/a.bin", "d/b.bin", "d/e/c.bin"):
+        (tmp_path / name).write_bytes(data)
+    names = lambda *a, **k: [os.path.relpath(x.removeprefix("file:"), tmp_path) for x, _ in objects.keys(spark, *a, **k)]
+    assert names(f"{tmp_path}/d") == ["d/a.bin", "d/b.bin"] and names(f"{tmp_path}/d/a*") == ["d/a.bin"]
+    assert names(f"{tmp_path}/d", recursive=True) == ["d/a.bin", "d/b.bin", "d/e/c.bin"] and objects.keys(spark, f"{tmp_path}/none*") == []
+    with objects.Handle(spark, f"file://{tmp_path}/d/a.bin") as f:
+        assert f.size == 2560 and f.read(3) == data[:3] and f.tell() == 3
+        f.seek(-4, 2)
+        assert f.read() == data[-4:] and f.read() == b""
+        f.seek(1000)
+        f.seek(5, 1)
+        assert f.read(7) == data[1005:1012]
+        with pytest.raises(ValueError):
+            f.seek(-1)
+    with pytest.raises(ValueError):
+        objects.Handle(spark, f"{tmp_path}/d/*.bin")
+    with pytest.raises(FileNotFoundError):
+        objects.Handle(spark, f"{tmp_path}/none.bin")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    objects.credentials(spark, "key", "secret")
+    assert conf.get("fs.s3a.access.key") == "key" and "Simple" in conf.get("fs.s3a.aws.credentials.provider")
+    objects.credentials(spark)
+    assert conf.get("fs.s3a.access.key") is None and "Anonymous" in conf.get("fs.s3a.aws.credentials.provider")
+    with pytest.raises(ValueError):
+        objects.credentials(spark, "key")
+    with pytest.raises(ValueError):
+        objects.credentials(spark, scheme="ftp")
+
+
 def test_more_images_than_five_digits(spark, tmp_path):
     images = readers.images_from_array(spark, np.arange(8.0).reshape(2, 2, 2))
     far = images._new(F.col("values"))

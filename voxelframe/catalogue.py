@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from voxelframe.operators.images import Images
 from voxelframe.operators.series import Series, of_cells
 from voxelframe.session import scratch, table
-from voxelframe.sources import readers
+from voxelframe.sources import listing, objects, readers
 
 DAYS, MONTHS, N = 30, 83, 64
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,7 +129,7 @@ def _there_and_back(write, read):
 
 
 def _write_text(s, d, path):
-    E(s, d).df.orderBy("k0").select(F.array_join(F.transform("values", lambda x: x.cast("string")), " ").alias("line")).coalesce(1).write.text(path)
+    E(s, d).df.repartitionByRange(4, "k0").sortWithinPartitions("k0").select(F.array_join(F.transform("values", lambda x: x.cast("string")), " ").alias("line")).write.text(path)
 
 
 def _bytes(s, d) -> Images:
@@ -148,6 +148,110 @@ add("parquet_roundtrip", _there_and_back(lambda s, d, p: U(s, d).toparquet(p), r
 add("series_random", lambda s, d: readers.series_from_random(s, (100, 10), 4))
 add("images_random", lambda s, d: readers.images_from_random(s, (10, 5, 5), 4))
 
+
+
+def _local(kind):
+    """Through an array on the driver, which is what these sources take."""
+    return {
+        "array": lambda s, x: readers.series_from_array(s, x.toarray(squeeze=False), npartitions=3),
+        "images": lambda s, x: readers.images_from_array(s, x.toarray(squeeze=False), npartitions=3),
+        "list": lambda s, x: readers.series_from_list(s, list(x.toarray(squeeze=False))),
+        "keyed": lambda s, x: readers.images_from_list(s, list(x.toarray(squeeze=False)), accessor=lambda a: a + 1, keys=[-k for k in range(x.shape[0])], dims=x.value_shape, dtype=x.dtype),
+        "rdd": lambda s, x: readers.from_rdd(s, x.df.rdd.map(lambda r: (r.k0, np.array(r["values"]))), "series"),
+        "images_rdd": lambda s, x: readers.from_rdd(s, x.df.rdd.map(lambda r: ((r.k0,), np.array(r["values"]).reshape(8, 8))), "images"),
+        "local": lambda s, x: x.tolocal().tospark(s, 3),
+    }[kind]
+
+
+def _first_record(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(p, float(x)) for p, x in enumerate(np.round(E(s, d).first(), 6) + 0.0)], "pos int, value double")
+
+
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(k, int(x)) for k, x in enumerate(E(s, d).labels())], "k0 bigint, label bigint")
+
+
+def _ranged(s: SparkSession, path: str) -> DataFrame:
+    """The third record, by a read of its bytes alone."""
+    name, size = objects.keys(s, f"{path}/*.bin")[0]
+    with objects.Handle(s, name) as f:
+        f.seek(2 * N * 8)
+        one = np.frombuffer(f.read(N * 8))
+    return s.createDataFrame([(p, float(x)) for p, x in enumerate(np.round(one, 6) + 0.0)], "pos int, value double")
+
+
+def _by_path(s: SparkSession, path: str, **more) -> Images:
+    return readers.images_from_path(s, path, lambda k, data: [np.frombuffer(data).reshape(8, 8)], **more)
+
+
+def _nested(s, d, path):
+    """Files in folders below, of the even and the odd images."""
+    for k in (0, 1):
+        I(s, d)[k::2].tobinary(f"{path}/part{k}")
+
+
+def _executed(s: SparkSession, d: str) -> Series:
+    x = E(s, d).repartition(6).coalesce(2)
+    if x.npartitions() > 2 or x.iscached():
+        raise ValueError("two partitions at most, not cached, are asked for")
+    x.cache()
+    x.compute()
+    return x.uncache()
+
+
+def _listing(s: SparkSession, path: str) -> DataFrame:
+    names = listing.files(s, path, "bin").orderBy("file").select("file", F.element_at(F.split("path", "/"), -1).alias("name"))
+    return names.select(F.col("file").cast("bigint").alias("file"), "name")
+
+
+def _refused(s: SparkSession, d: str) -> DataFrame:
+    """Paths and options that are refused, by name."""
+    tests = {
+        "no files": (FileNotFoundError, lambda: listing.files(s, f"{d}/embeddings.parquet", start=1 << 40)),
+        "two wildcards": (ValueError, lambda: objects.Place.parse("s3://b/*/*")),
+        "host in a file URI": (ValueError, lambda: objects.uri_to_path("file://a/b")),
+        "too many partitions": (ValueError, lambda: E(s, d).coalesce(1 << 20)),
+        "unlike shapes": (ValueError, lambda: E(s, d).plus(E(s, d)[:, :3])),
+        "matrix of records": (NotImplementedError, lambda: E(s, d).times(E(s, d))),
+        "padding over the tile": (ValueError, lambda: I(s, d).toblocks((2, 2), padding=3)),
+    }
+    out = []
+    for name, (kind, run) in tests.items():
+        try:
+            run()
+        except kind:
+            out.append((name,))
+    return s.createDataFrame(out, "name string")
+
+
+ALIKE = cell("value")
+add("series_from_array", lambda s, d: _local("array")(s, E(s, d)), ALIKE)
+add("images_from_array", lambda s, d: _local("images")(s, I(s, d)), ALIKE)
+add("series_from_list", lambda s, d: _local("list")(s, E(s, d)), ALIKE)
+add("images_from_list_keys", lambda s, d: _local("keyed")(s, I(s, d)), f"SELECT (SELECT max(k0) FROM e) - k0 AS k0, pos, {r('value + 1')} FROM e")
+add("series_from_rdd", lambda s, d: _local("rdd")(s, E(s, d)), ALIKE)
+add("images_from_rdd", lambda s, d: _local("images_rdd")(s, I(s, d)), ALIKE)
+add("series_from_accessor", lambda s, d: readers.series_from_list(s, list(range(50)), accessor=lambda i: np.arange(4.0) * i), "SELECT i AS k0, CAST(p AS INTEGER) AS pos, CAST(i * p AS DOUBLE) AS value FROM (SELECT unnest(range(50)) AS i) CROSS JOIN (SELECT unnest(range(4)) AS p)")
+add("series_from_example", lambda s, d: readers.from_example(s, "series", "waves"), f"SELECT i AS k0, CAST(p AS INTEGER) AS pos, {r('sin(p * 4 * pi() / 239) * (i + 1)')} FROM (SELECT unnest(range(20)) AS i) CROSS JOIN (SELECT unnest(range(240)) AS p)")
+add("images_from_example", lambda s, d: readers.from_example(s, "images", "waves"), f"SELECT i AS k0, CAST(a * 24 + b AS INTEGER) AS pos, {r('sin(a * 4 * pi() / 239) * sin(b * 4 * pi() / 239) + i')} FROM (SELECT unnest(range(20)) AS i) CROSS JOIN (SELECT unnest(range(24)) AS a) CROSS JOIN (SELECT unnest(range(24)) AS b)")
+add("local_roundtrip", lambda s, d: _local("local")(s, E(s, d)), ALIKE)
+add("images_from_path", _there_and_back(lambda s, d, p: I(s, d).tobinary(p), lambda s, p: _by_path(s, p, ext="bin")), ALIKE)
+add("images_from_path_part", _there_and_back(lambda s, d, p: I(s, d).tobinary(p), lambda s, p: _by_path(s, f"{p}/image-*.bin", start=3, stop=90)), f"SELECT k0 - 3 AS k0, pos, {r('value')} FROM e WHERE k0 BETWEEN 3 AND 89")
+add("images_from_path_recursive", _there_and_back(_nested, lambda s, p: _by_path(s, p, ext="bin", recursive=True)), f"SELECT k0 // 2 + CASE k0 % 2 WHEN 0 THEN 0 ELSE ((SELECT max(k0) FROM e) + 2) // 2 END AS k0, pos, {r('value')} FROM e")
+add("ranged_read", _there_and_back(lambda s, d, p: E(s, d).tobinary(p), _ranged), f"SELECT pos, {r('value')} FROM e WHERE k0 = 2")
+add("listing_files", _there_and_back(lambda s, d, p: I(s, d).tobinary(p), _listing), "SELECT DISTINCT k0 AS file, 'image-' || lpad(CAST(k0 AS VARCHAR), 5, '0') || '.bin' AS name FROM e")
+add("place_of_uri", lambda s, d: s.createDataFrame([(objects.uri_to_path("file:///a/b"), *objects.Place.parse("s3://bucket/some/key*.bin").__dict__.values())], "path string, scheme string, bucket string, prefix string, postfix string"), "SELECT '/a/b' AS path, 's3' AS scheme, 'bucket' AS bucket, 'some/key' AS prefix, '.bin' AS postfix")
+add("refused", _refused, "SELECT unnest(['no files', 'two wildcards', 'host in a file URI', 'too many partitions', 'unlike shapes', 'matrix of records', 'padding over the tile']) AS name")
+add("first_record", _first_record, f"SELECT pos, {r('value')} FROM e WHERE k0 = 0")
+add("count_records", lambda s, d: s.createDataFrame([(E(s, d).count(), I(s, d).toblocks((3, 5)).count())], "n bigint, blocks bigint"), "SELECT count(DISTINCT k0) AS n, CAST(6 AS BIGINT) AS blocks FROM e")
+add("labels", _labels, "SELECT CAST(vec_id AS BIGINT) AS k0, CAST(label AS BIGINT) AS label FROM embeddings")
+add("execution", _executed, ALIKE)
+add("squeeze", lambda s, d: (lambda x: x.reshape(x.shape[0], 1, N).squeeze())(I(s, d)), ALIKE)
+add("concatenate", lambda s, d: E(s, d).concatenate(E(s, d)[:, ::-1]), f"SELECT k0, pos, {r('value')} FROM e UNION ALL SELECT k0 + (SELECT max(k0) + 1 FROM e), 63 - pos, {r('value')} FROM e")
+add("sum_of_integers", lambda s, d: E(s, d).times(100.0).astype("int64").sum().cells().select(F.col("pos").cast("int").alias("pos"), "value"), "SELECT pos, CAST(sum(CAST(trunc(value * 100) AS BIGINT)) AS BIGINT) AS value FROM e GROUP BY pos")
+add("numbered_after_sort", lambda s, d: (lambda x: x._renumber(x.df.withColumn("k0", -F.col("k0"))))(E(s, d)), f"SELECT (SELECT max(k0) FROM e) - k0 AS k0, pos, {r('value')} FROM e")
+add("fixed_shape", lambda s, d: s.createDataFrame([(str(x.blockshape[1:]), str(x.padding), str(x.grid)) for x in [I(s, d).toblocks((3, 5), padding=(1, 2))]], "tile string, padding string, grid string"), "SELECT '(3, 5)' AS tile, '(1, 2)' AS padding, '(3, 2)' AS grid")
+
 # Generic operators.
 add("series_map", lambda s, d: E(s, d).map(lambda x: 2 * x + 1, value_shape=(N,), dtype="float64"), cell("2 * value + 1"))
 add("series_map_with_keys", lambda s, d: E(s, d).map(lambda kx: kx[1] + kx[0][0], value_shape=(N,), dtype="float64", with_keys=True), cell("value + k0"))

@@ -8,11 +8,11 @@ from math import prod
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelframe.functions import kernels as K
-from voxelframe.operators.frame import to_arrow
+from voxelframe.operators.frame import numbered, to_arrow
 from voxelframe.operators.images import Images
 from voxelframe.operators.series import Series
 from voxelframe.plans.meta import Meta, spark_type
@@ -61,17 +61,21 @@ def images_from_array(spark: SparkSession, values, labels=None, npartitions: int
     return _finished(_array(spark, Images, a, a.shape[:1], a.shape[1:], npartitions), labels=labels)
 
 
-def _stacked(spark: SparkSession, items: list, kind, npartitions: int | None):
-    a = np.stack([np.asarray(i) for i in items])
+def _stacked(spark: SparkSession, items: list, kind, npartitions: int | None, dims=None, dtype=None):
+    a = np.stack([np.asarray(i, dtype) for i in items])
+    if dims is not None and a.shape[1:] != tuple(dims):
+        raise ValueError(f"items of shape {a.shape[1:]} are not of shape {dims}")
     return _array(spark, kind, a, a.shape[:1], a.shape[1:], npartitions)
 
 
-def _accessed(spark: SparkSession, items: list, accessor: Callable, kind, npartitions: int | None):
+def _accessed(spark: SparkSession, items: list, accessor: Callable, kind, npartitions: int | None, dims=None, dtype=None):
     from pyspark import cloudpickle
 
     ship(spark)
-    one = np.asarray(accessor(items[0]))
-    dtype = one.dtype
+    if dims is None or dtype is None:
+        one = np.asarray(accessor(items[0]))
+        dims, dtype = dims or one.shape, dtype or one.dtype
+    dims, dtype = tuple(dims), np.dtype(dtype)
     rows = spark.createDataFrame([(i, cloudpickle.dumps(x)) for i, x in enumerate(items)], "k0 long, item binary")
 
     def run(batches):
@@ -81,7 +85,7 @@ def _accessed(spark: SparkSession, items: list, accessor: Callable, kind, nparti
                 yield pa.RecordBatch.from_arrays([b.column("k0"), to_arrow(np.stack(made), dtype)], ["k0", "values"])
 
     made = rows.repartition(npartitions or min(len(items), spark.sparkContext.defaultParallelism)).mapInArrow(run, f"k0 long, values array<{spark_type(dtype)}>")
-    return kind(made, Meta((len(items),), one.shape, dtype))
+    return kind(made, Meta((len(items),), dims, dtype))
 
 
 def series_from_list(spark: SparkSession, items: list, accessor: Callable | None = None, index=None, labels=None, npartitions: int | None = None) -> Series:
@@ -89,11 +93,33 @@ def series_from_list(spark: SparkSession, items: list, accessor: Callable | None
     return _finished(made, index, labels)
 
 
-def images_from_list(spark: SparkSession, items: list, accessor: Callable | None = None, labels=None, npartitions: int | None = None) -> Images:
-    made = _accessed(spark, items, accessor, Images, npartitions) if accessor else _stacked(spark, items, Images, npartitions)
+def images_from_list(spark: SparkSession, items: list, accessor: Callable | None = None, keys=None, dims=None, dtype=None, labels=None, npartitions: int | None = None) -> Images:
+    """An image of each item, in the order of `keys` if there are any. dims and dtype are those of the first one unless
+    given."""
+    if keys is not None:
+        flat = [k[0] if isinstance(k, tuple) else k for k in keys]
+        if len(flat) != len(items) or len(set(flat)) != len(flat):
+            raise ValueError("as many different keys as items are asked for")
+        items = [items[i] for i in np.argsort(flat, kind="stable")]
+    made = _accessed(spark, items, accessor, Images, npartitions, dims, dtype) if accessor else _stacked(spark, items, Images, npartitions, dims, dtype)
     return _finished(made, labels=labels)
 
 
+def from_rdd(spark: SparkSession, rdd, kind: str, shape=None, dtype=None, index=None, labels=None):
+    """Records of an RDD of (key, array); a key is an int or a tuple of ints. Shapes that aren't given are found by one
+    aggregate, the dtype and the values' shape of images from the first record."""
+    key, one = rdd.first()
+    n, one = len(key) if isinstance(key, tuple) else 1, np.asarray(one)
+    dtype = np.dtype(dtype or one.dtype)
+    number = int if dtype.kind in "iu" else bool if dtype.kind == "b" else float
+    keys = [f"k{i}" for i in range(n)]
+    rows = rdd.map(lambda kv: (*(int(k) for k in (kv[0] if isinstance(kv[0], tuple) else (kv[0],))), [number(x) for x in np.asarray(kv[1]).reshape(-1)]))
+    df = spark.createDataFrame(rows, ", ".join([f"{k} long" for k in keys] + [f"values array<{spark_type(dtype)}>"]))
+    base = None if shape is None else tuple(shape)[:n]
+    made = from_dataframe(df, kind, keys, "values", base, one.shape, dtype, index=index)
+    return made.with_labels(labels) if labels is not None else made
+
+
 def _random(spark: SparkSession, kind, shape: tuple[int, ...], seed: int, npartitions: int):
     """Record i is the standard normal draw of the generator seeded with seed + i."""
     ship(spark)
@@ -134,49 +160,45 @@ def from_example(spark: SparkSession, kind: str, name: str | None = None):
 
 
 def series_from_text(spark: SparkSession, path: str, ext: str = "txt", dtype="float64", skip: int = 0, shape=None, index=None, labels=None) -> Series:
-    """A record for each line of numbers between white space, after `skip` leading ones; files in order of path."""
-    found = listing.files(spark, path, ext)
-    lines = found.select("file", F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("line", "text")).where("trim(text) <> ''")
-    numbers = F.transform(F.slice(F.split(F.trim("text"), r"\s+"), skip + 1, 1 << 30), lambda x: x.cast("double"))
-    rows = keep(lines.select("file", "line", numbers.alias("values")), "text")
-    per_file = {r.file: r.n for r in rows.groupBy("file").agg(F.count("*").alias("n")).collect()}  # a row for each file
-    before = np.cumsum([0, *(per_file[f] for f in sorted(per_file))]).tolist()
-    total = before[-1]
-    start = spark.createDataFrame(list(zip(sorted(per_file), before, strict=False)) or [(0, 0)], "file long, start long")
-    from pyspark.sql import Window
-
-    at = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1  # a file's lines
-    flat = rows.withColumn("at", at).join(start, "file").select((F.col("start") + F.col("at")).alias("k0"), "values")
-    n = rows.agg(F.max(F.size("values"))).first()[0] or 0
-    made = Series(flat.withColumn("values", F.col("values").cast(f"array<{spark_type(dtype)}>")), Meta((total,), (n,), np.dtype(dtype)))
+    """A record for each line of numbers between white space, after `skip` leading ones; files in order of path. Files are
+    read in splits: a line's place is its split's, by path and offset, and its place there."""
+    lines = spark.read.text(listing.with_extension(path, ext)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    numbers = F.transform(F.slice(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+"), skip + 1, 1 << 30), lambda x: x.cast("double"))
+    # Lines of a split follow each other in one partition.
+    rows = keep(lines.where(r"value rlike '\\S'").withColumn("at", F.monotonically_increasing_id()).select("file", "block", "at", numbers.alias("values")), "text")
+    splits = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max(F.size("values")).alias("width"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = keep(splits.select("file", "block", "n", "width", (before - F.col("low")).alias("move")), "splits")  # a small row a split
+    total, n = splits.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("width"), F.lit(0))).first()
+    flat = rows.join(splits.select("file", "block", "move"), ["file", "block"]).select((F.col("at") + F.col("move")).cast("long").alias("k0"), F.col("values").cast(f"array<{spark_type(dtype)}>").alias("values"))
+    made = Series(flat, Meta((total,), (n,), np.dtype(dtype)))
     return _finished(made.reshape(*shape) if shape is not None else made, index, labels)
 
 
 def series_from_binary(spark: SparkSession, path: str, ext: str = "bin", conf: str = "conf.json", dtype=None, shape=None, skip: int = 0, index=None, labels=None) -> Series:
-    """Records of fixed size; arguments come before what the configuration says."""
+    """Records of fixed size, in splits of whole records; arguments come before what the configuration says."""
     about = listing.config(spark, path, conf)
     shape, dtype = tuple(shape or about.get("shape") or ()), dtype or about.get("dtype")
     if not shape or dtype is None:
         raise ValueError("shape and dtype are neither given nor configured")
     ship(spark)
     dtype, n, base = np.dtype(dtype), shape[-1] + skip, shape[:-1]
-    found = listing.files(spark, path, ext)
-    sizes = found.select("file", F.length("content").alias("n")).collect()  # a row for each file
-    record = n * dtype.itemsize
-    counts = {r.file: r.n // record for r in sizes}
-    if sum(counts.values()) != prod(base):
-        raise ValueError(f"{sum(counts.values())} records do not have the shape {shape}")
-    before = dict(zip(sorted(counts), np.cumsum([0, *(counts[f] for f in sorted(counts))]).tolist(), strict=False))
+    record, target = n * dtype.itemsize, listing.with_extension(path, ext)
+    size = spark.read.format("binaryFile").load(target).agg(F.sum("length")).first()[0] or 0  # of the listing, not the content
+    if size != record * prod(base):
+        raise ValueError(f"{size} bytes do not have the shape {shape}")
+    records = spark.sparkContext._jsc.binaryRecords(target, record).rdd()
+    df = DataFrame(spark._jsparkSession.createDataset(records, spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
 
     def run(batches):
         for b in batches:
-            for f, data in zip(b.column("file").to_pylist(), b.column("content"), strict=True):
-                x = np.frombuffer(data.as_buffer(), dtype).reshape(-1, n)[:, skip:]
-                at = np.unravel_index(before[f] + np.arange(len(x)), base)
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in at] + [to_arrow(x, dtype)], [*(f"k{i}" for i in range(len(base))), "values"])
+            if b.num_rows:
+                x = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype).reshape(-1, n)[:, skip:]
+                yield pa.RecordBatch.from_arrays([to_arrow(x, dtype)], ["values"])
 
-    rows = found.select("file", "content").mapInArrow(run, ", ".join([f"k{i} long" for i in range(len(base))] + [f"values array<{spark_type(dtype)}>"]))
-    return _finished(Series(rows, Meta(base, shape[-1:], dtype)), index, labels)
+    rows, total = numbered(df.mapInArrow(run, f"values array<{spark_type(dtype)}>"), "records")
+    flat = Series(rows.select("k0", "values"), Meta((total,), shape[-1:], dtype))
+    return _finished(flat.reshape(*shape) if len(base) > 1 else flat, index, labels)
 
 
 def images_from_path(spark: SparkSession, path: str, accessor: Callable, ext: str | None = None, start=None, stop=None, recursive: bool = False, npartitions: int | None = None, dims=None, dtype=None, labels=None) -> Images:
