@@ -24,7 +24,7 @@ shingle. Of the first kind of pairs, all that have one are linked with the membe
 members are tested against that one, and linked members are united. For the second kind, members of lists that still hold
 several components post themselves again under what they miss and add: the rarest added shingles first, as many as the
 least number of shared ones leaves (the prefix filter again). The new lists are handled likewise, until none holds several
-components. None of them has more than half of the voters of the list that it comes from, so this ends. Each filter is
+components. None of them has more than half of the voters of what it comes from, so this ends. Each filter is
 exact for any core, no link is lost by them, and a group of n copies with edits of their own, near each other or not near
 enough, costs some tests a member and never its pairs.
 
@@ -300,12 +300,27 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     whose, member = ["key", "band"], ["key", "band", "id", "n"]
     part = F.pmod(F.xxhash64("id"), F.lit(VOTERS))
 
+    voting = [F.min(F.when(part == v, F.col("id"))).alias(f"v{v}") for v in range(VOTERS)]
+    voters = F.array(*[F.col(f"v{v}") for v in range(VOTERS)]).alias("voters")
+
     def unfinished(lists: DataFrame) -> DataFrame:
-        """Members, sizes and voters of the lists that hold several components."""
+        """Members and sizes of the lists that hold several components."""
         own = label_of(lists.select(*member), "id", "own")
-        voters = F.array(*[F.min(F.when(part == v, F.col("id"))) for v in range(VOTERS)]).alias("voters")
-        heads = own.groupBy(*whose).agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("many"), voters).where("lo < hi")
-        return own.join(heads, whose).select(*member, "many", "voters", F.xxhash64("voters").alias("core"))
+        heads = own.groupBy(*whose).agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("many")).where("lo < hi")
+        return own.join(heads.select(*whose, "many"), whose).select(*member, "many")
+
+    def grouped(long: DataFrame) -> DataFrame:
+        """Which core each list has, and its voters. At first that is one for all lists of a group of copies: the lists
+        whose members meet the same least id in their lists. Later on, when lists are parts of groups, each has its own
+        voters, and lists of the same ones share the core."""
+        if label is not None:
+            heads = long.groupBy(*whose).agg(*voting).select(*whose, voters)
+            return heads.withColumn("core", F.xxhash64("voters"))
+        met = long.groupBy(*whose).agg(F.min("id").alias("least")).join(long.select(*whose, "id"), whose).groupBy("band", "id").agg(F.min("least").alias("least"))
+        heads = long.select(*whose, "id").join(met, ["band", "id"]).groupBy(*whose).agg(F.xxhash64("band", F.min("least")).alias("core"))
+        heads = keep(heads, "heads")
+        elected = long.select(*whose, "id").join(heads, whose).groupBy("core").agg(*voting).select("core", voters)
+        return heads.join(elected, "core")
 
     while True:
         lists = keep(unfinished(lists), "lists")
@@ -315,7 +330,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         short = lists.where(F.col("many") <= SHORT).groupBy(*whose).agg(F.array_sort(F.collect_list("id")).alias("ids"))
         pairs = short.select("ids", F.explode("ids").alias("a")).select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
         long = lists.where(F.col("many") > SHORT)
-        cores = keep(voted(long, sets), "cores")
+        heads = keep(grouped(long), "heads")
+        long = keep(long.join(heads.select(*whose, "core"), whose), "long")
+        cores = keep(voted(heads, sets), "cores")
         made = keep(differences(long.select("band", "core", "id").distinct(), cores, sets.select("id", "n", "shingles"), percent), "differences")
         nearest = made.groupBy("band", "core").agg(F.min_by("id", F.struct("far", "id")).alias("nearest"))
         star = made.select("band", "core", "id").join(nearest, ["band", "core"]).where("id <> nearest").select(F.least("id", "nearest").alias("a"), F.greatest("id", "nearest").alias("b"))
@@ -323,7 +340,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         new = keep(confirmed(keep(collided(pairs, signatures, least), "collided"), sets, percent), "links")
         links = new if links is None else links.unionByName(new)
         label = components(links) if label is None or not new.isEmpty() else label
-        open_ = unfinished(long).select("band", "core", "id").distinct()
+        open_ = unfinished(long).select(*whose, "id").join(heads.select(*whose, "core"), whose).select("band", "core", "id").distinct()
         lists = made.join(open_, ["band", "core", "id"]).select(F.explode("keys").alias("key"), "band", "id", "n").distinct()
     if label is None:
         label = components(every.select(F.lit(0).alias("a"), F.lit(0).alias("b")).limit(0))
