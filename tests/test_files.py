@@ -52,6 +52,103 @@ def test_png_filters():
     assert (K.png_decode(png_with_filters(x)) == x).all()
 
 
+def lzw_encoded(data):
+    out, have, acc, table, width, word = bytearray(), 0, 0, {bytes([k]): k for k in range(256)}, 9, b""
+    codes = [(256, 9)]
+    size = 258
+    for k in range(len(data)):
+        c = data[k : k + 1]
+        if word + c in table:
+            word += c
+            continue
+        codes.append((table[word], width))
+        table[word + c] = size
+        size += 1
+        if size > (1 << width) - 1:
+            width += 1
+        if size >= 4094:
+            codes.append((256, width))
+            table, size, width = {bytes([k]): k for k in range(256)}, 258, 9
+        word = c
+    codes += [(table[word], width), (257, width)]
+    for code, n in codes:
+        acc, have = acc << n | code, have + n
+        while have >= 8:
+            have -= 8
+            out.append(acc >> have & 255)
+    out.append(acc << (8 - have) & 255)
+    return bytes(out)
+
+
+def tif(x, packed, pack, tile=None, ahead=1):
+    """A little-endian TIFF of one page in strips of two rows, or in tiles."""
+    import struct
+
+    h, w = x.shape
+    th, tw = tile or (2, w)
+    parts = []
+    for y in range(0, h, th):
+        for c in range(0, w, tw):
+            part = x[y : y + th, c : c + tw]
+            if tile:
+                part = np.pad(part, ((0, th - part.shape[0]), (0, tw - part.shape[1])))
+            if ahead == 2:
+                part = np.diff(part, axis=1, prepend=np.zeros((len(part), 1), x.dtype)).astype(x.dtype)
+            parts.append(pack(part.tobytes()))
+    out, places = bytearray(struct.pack("<2sHI", b"II", 42, 0)), []
+    for part in parts:
+        places.append(len(out))
+        out += part + b"\0" * (len(part) % 2)
+    lists = []
+    for values in (places, [len(p) for p in parts]):
+        lists.append(len(out) if len(values) > 1 else values[0])
+        out += struct.pack(f"<{len(values)}I", *values)
+    tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, 8 * x.itemsize), (259, 3, 1, packed), (277, 3, 1, 1), (317, 3, 1, ahead), (339, 3, 1, {"u": 1, "i": 2}[x.dtype.kind])]
+    n = len(parts)
+    tags += [(322, 4, 1, tw), (323, 4, 1, th), (324, 4, n, lists[0]), (325, 4, n, lists[1])] if tile else [(273, 4, n, lists[0]), (278, 4, 1, th), (279, 4, n, lists[1])]
+    struct.pack_into("<I", out, 4, len(out))
+    out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in sorted(tags)) + struct.pack("<I", 0)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("ahead", [1, 2])
+@pytest.mark.parametrize("tile", [None, (16, 16)])
+def test_packed_tifs(tile, ahead):
+    import zlib
+
+    x = (np.random.RandomState(0).randint(0, 50, (21, 37)) ** 2).astype("uint16")
+    packbits = lambda d: b"".join(bytes([len(d[k : k + 100]) - 1]) + d[k : k + 100] for k in range(0, len(d), 100))
+    for packed, pack in ((1, bytes), (5, lzw_encoded), (8, zlib.compress), (32773, packbits)):
+        assert (K.tif_decode(tif(x, packed, pack, tile, ahead))[0] == x).all(), packed
+    big = np.random.RandomState(0).randint(0, 4, (300, 200)).astype("uint8")
+    assert (K.tif_decode(tif(big, 5, lzw_encoded, (304, 208)))[0] == big).all()  # the table is full more than once
+    assert K._packbits(bytes([254, 7, 128, 1, 8, 9])) == b"\x07\x07\x07\x08\x09"
+    with pytest.raises(ValueError):
+        K.tif_decode(tif(x, 7, bytes))
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4, 8, 16])
+def test_interlaced_and_shallow_pngs(depth):
+    import struct
+    import zlib
+
+    x = np.random.RandomState(0).randint(0, 2**depth, (11, 13))
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def rows(part):
+        bits = (part[:, :, None] >> np.arange(depth - 1, -1, -1) & 1).reshape(len(part), -1).astype(np.uint8)
+        return b"".join(b"\0" + np.packbits(r).tobytes() for r in bits)
+
+    for interlaced in (0, 1):
+        parts = [x[a::c, b::d] for a, b, c, d in K.PASSES] if interlaced else [x]
+        data = zlib.compress(b"".join(rows(p) for p in parts if p.size))
+        for colour in (0, 3) if depth <= 8 else (0,):
+            palette = np.random.RandomState(1).randint(0, 256, (2**depth, 3)).astype(np.uint8)
+            made = K.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", 13, 11, depth, colour, 0, 0, interlaced)) + (chunk(b"PLTE", palette.tobytes()) if colour else b"") + chunk(b"IDAT", data) + chunk(b"IEND", b"")
+            want = palette[x] if colour else x * (255 // (2**depth - 1)) if depth < 8 else x
+            assert (K.png_decode(made) == want).all()
+
+
 def test_text(spark, tmp_path):
     for name, rows in (("b.txt", "7 8  9\n1 2 3"), ("a.txt", "1 1 1\n2 2 2\n\n3 3 3\n")):
         (tmp_path / name).write_text(rows)

@@ -87,34 +87,18 @@ def png_encode(x: np.ndarray) -> bytes:
     return PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", x.shape[1], x.shape[0], depth, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(data)) + chunk(b"IEND", b"")
 
 
-def png_decode(data: bytes) -> np.ndarray:
-    """Grey, grey with alpha, RGB and RGBA of 8 or 16 bits, and 8-bit palettes; not interlaced."""
-    if data[:8] != PNG:
-        raise ValueError("not a PNG file")
-    at, body, palette = 8, [], None
-    while at < len(data):
-        n, kind = struct.unpack_from(">I4s", data, at)
-        part = data[at + 8 : at + 8 + n]
-        if kind == b"IHDR":
-            w, h, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", part)
-        elif kind == b"PLTE":
-            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
-        elif kind == b"IDAT":
-            body.append(part)
-        at += 12 + n
-    if interlaced or depth not in (8, 16):
-        raise ValueError("only PNG files of 8 or 16 bits that aren't interlaced are read")
-    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    step = channels * depth // 8
-    rows = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * step)
-    out = np.zeros((h + 1, w * step + step), np.int64)  # a row and a pixel of zeros before the first
+def _png_pass(data: bytes, at: int, h: int, w: int, bits: int) -> tuple[np.ndarray, int]:
+    """The bytes of h rows of w pixels of so many bits with their filters undone, and where the data goes on."""
+    width, step = -(-w * bits // 8), max(1, bits // 8)
+    rows = np.frombuffer(data, np.uint8, h * (1 + width), at).reshape(h, 1 + width)
+    out = np.zeros((h + 1, width + step), np.int64)  # a row and a pixel of zeros before the first
     for y in range(h):
         kind, line, up = int(rows[y, 0]), rows[y, 1:].astype(np.int64), out[y]
         own = out[y + 1]
         if kind in (0, 2):
             own[step:] = (line + (up[step:] if kind == 2 else 0)) & 255
         elif kind == 1:
-            own[step:] = (np.cumsum(line.reshape(w, step), axis=0) & 255).reshape(-1)
+            own[step:] = (np.cumsum(line.reshape(-1, step), axis=0) & 255).reshape(-1)
         else:
             for k in range(step, len(own)):
                 a, b, c = own[k - step], up[k], up[k - step]
@@ -124,10 +108,44 @@ def png_decode(data: bytes) -> np.ndarray:
                     p = a + b - c
                     guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
                 own[k] = (line[k - step] + guess) & 255
-    raw = np.ascontiguousarray(out[1:, step:].astype(np.uint8))
-    x = raw.view(">u2").astype(np.uint16) if depth == 16 else raw
-    x = x.reshape(h, w, channels) if channels > 1 else x.reshape(h, w)
-    return palette[x] if colour == 3 else x
+    return np.ascontiguousarray(out[1:, step:].astype(np.uint8)), at + h * (1 + width)
+
+
+#: First row and column and their steps of the seven passes of an interlaced PNG.
+PASSES = [(0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)]
+
+
+def png_decode(data: bytes) -> np.ndarray:
+    """Grey, grey with alpha, RGB, RGBA and palettes of all depths, also interlaced. Grey of under 8 bits is brought to 8."""
+    if data[:8] != PNG:
+        raise ValueError("not a PNG file")
+    at, body, palette = 8, [], None
+    while at < len(data):
+        n, kind = struct.unpack_from(">I4s", data, at)
+        part = data[at + 8 : at + 8 + n]
+        if kind == b"IHDR":
+            w, h, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", part)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            body.append(part)
+        at += 12 + n
+    channels, raw, at = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour], zlib.decompress(b"".join(body)), 0
+    x = np.zeros((h, w, channels), np.uint16 if depth == 16 else np.uint8)
+    for y0, x0, dy, dx in PASSES if interlaced else [(0, 0, 1, 1)]:
+        rows, columns = len(range(y0, h, dy)), len(range(x0, w, dx))
+        if rows and columns:
+            part, at = _png_pass(raw, at, rows, columns, channels * depth)
+            if depth == 16:
+                part = part.view(">u2")
+            elif depth < 8:
+                bits = np.unpackbits(part, axis=1)[:, : columns * depth].reshape(rows, columns, depth)
+                part = (bits << np.arange(depth - 1, -1, -1)).sum(2)
+            x[y0::dy, x0::dx] = part.reshape(rows, columns, channels)
+    x = x if channels > 1 else x[:, :, 0]
+    if colour == 3:
+        return palette[x]
+    return x * np.uint8(255 // (2**depth - 1)) if depth < 8 else x
 
 
 def tif_encode(x: np.ndarray) -> bytes:
@@ -151,8 +169,46 @@ def tif_encode(x: np.ndarray) -> bytes:
     return bytes(out)
 
 
+def _lzw(data: bytes) -> bytes:
+    first = [bytes([k]) for k in range(256)] + [b"", b""]
+    table, width, before, acc, have, out = list(first), 9, b"", 0, 0, []
+    for byte in data:
+        acc, have = (acc << 8 | byte) & 0xFFFFF, have + 8
+        if have < width:
+            continue
+        have -= width
+        code = acc >> have & ((1 << width) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, before = list(first), 9, b""
+            continue
+        word = table[code] if code < len(table) else before + before[:1]
+        if before:
+            table.append(before + word[:1])
+        out.append(word)
+        before = word
+        if len(table) >= (1 << width) - 1 and width < 12:
+            width += 1
+    return b"".join(out)
+
+
+def _packbits(data: bytes) -> bytes:
+    out, at = [], 0
+    while at < len(data):
+        n = data[at]
+        out.append(data[at + 1 : at + 2 + n] if n < 128 else data[at + 1 : at + 2] * (257 - n) if n > 128 else b"")
+        at += n + 2 if n < 128 else 2 if n > 128 else 1
+    return b"".join(out)
+
+
+#: The numbers of TIFF's compressions.
+UNPACK = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}
+
+
 def tif_decode(data: bytes) -> np.ndarray:
-    """Pages of one shape in strips, uncompressed or deflated, with samples of one kind; pages × rows × columns."""
+    """Pages of one shape in strips or tiles, uncompressed or packed by deflate, LZW or PackBits, with samples of one kind side
+    by side; pages × rows × columns."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None:
         raise ValueError("not a TIFF file")
@@ -168,12 +224,20 @@ def tif_decode(data: bytes) -> np.ndarray:
             tags[tag] = struct.unpack_from(f"{order}{count}{code}", data, place)
         bits, samples = tags.get(258, (1,))[0], tags.get(277, (1,))[0]
         dtype = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[tags.get(339, (1,))[0]]}{bits // 8}")
-        packed = tags.get(259, (1,))[0]
-        if packed not in (1, 8, 32946) or bits % 8:
-            raise ValueError("only TIFF files that are uncompressed or deflated are read")
-        strips = [data[a : a + c] for a, c in zip(tags[273], tags[279], strict=True)]
-        raw = b"".join(s if packed == 1 else zlib.decompress(s) for s in strips)
-        shape = (tags[257][0], tags[256][0]) + ((samples,) if samples > 1 else ())
-        pages.append(np.frombuffer(raw, dtype, int(np.prod(shape))).reshape(shape).astype(dtype.newbyteorder("=")))
+        packed, ahead = tags.get(259, (1,))[0], tags.get(317, (1,))[0]
+        if packed not in UNPACK or bits % 8 or ahead > 2 or samples > 1 and tags.get(284, (1,))[0] != 1:
+            raise ValueError(f"TIFF files of compression {packed}, {bits} bits, predictor {ahead} in this layout are not read")
+        h, w = tags[257][0], tags[256][0]
+        tiled = 324 in tags
+        rows, columns = (tags[323][0], tags[322][0]) if tiled else (min(h, tags.get(278, (h,))[0]), w)
+        page, across = np.zeros((h, w, samples), dtype), -(-w // columns)
+        for k, (a, c) in enumerate(zip(*(tags[t] for t in ((324, 325) if tiled else (273, 279))), strict=True)):
+            y, x = k // across * rows, k % across * columns
+            n_rows = rows if tiled else min(rows, h - y)
+            part = np.frombuffer(UNPACK[packed](data[a : a + c]), dtype, n_rows * columns * samples).reshape(n_rows, columns, samples)
+            if ahead == 2:
+                part = np.cumsum(part, axis=1, dtype=dtype)
+            page[y : y + rows, x : x + columns] = part[: h - y, : w - x]
+        pages.append((page if samples > 1 else page[:, :, 0]).astype(dtype.newbyteorder("=")))
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
     return np.stack(pages)
