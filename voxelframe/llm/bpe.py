@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelframe.llm import text as T
+from voxelframe.llm.rendezvous import lean
 from voxelframe.session import ship, table
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -363,7 +364,15 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_text: bool = Fa
     path = path or default_path()
 
     def run(batches):
-        gc.disable()  # many small objects, no cycles
+        gc.disable()  # many small objects, no cycles; the worker goes on to other tasks
+        lean()
+        try:
+            yield from made(batches)
+        finally:
+            gc.enable()
+            lean()
+
+    def made(batches):
         encode, vocab = encoder(path), vocabulary(path)
         for batch in batches:
             columns = pa.Table.from_batches([batch])

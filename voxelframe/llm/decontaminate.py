@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelframe.llm import text as T
+from voxelframe.llm.rendezvous import lean
 from voxelframe.session import ship, table
 
 Q, RATE = 8, 0.1
@@ -226,6 +227,7 @@ def leaks(docs: DataFrame, bench: DataFrame, rate: float = RATE) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches):
+            lean()
             items = shared.value
             for batch in batches:
                 ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
@@ -250,6 +252,7 @@ def keep_clean(docs: DataFrame, bench: DataFrame, rate: float = RATE) -> DataFra
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches):
+            lean()
             items = shared.value
             for batch in batches:
                 good = np.ones(batch.num_rows, bool)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.llm import text as T
 from voxelframe.llm.lm import held_out
+from voxelframe.llm.rendezvous import lean
 from voxelframe.session import keep, ship, table
 
 #: Word characters are ASCII letters and digits, and all bytes outside ASCII.
@@ -190,6 +191,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 4, remainder: int = 2) -
     ship(docs.sparkSession)
 
     def run(batches):
+        lean()
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
             for i, j, buf, off in T.chunks(*T.flat(batch.column("text"))):
@@ -207,6 +209,7 @@ def locate(docs: DataFrame, model: Model) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
+        lean()
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
             for i, _, buf, off in T.chunks(*T.flat(batch.column("text"))):
@@ -227,6 +230,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
+        lean()
         for batch in batches:
             good = []
             for i, j, buf, off in T.chunks(*T.flat(batch.column("text"))):
