@@ -21,12 +21,19 @@ some shingles missing (d of them) and some added. With o(x, y) the least interse
 
 so either |P| - d(x) - d(y) >= o(x, y), and x and y are linked, or they are linked only if they share a missing or added
 shingle. Of the first kind of pairs, all that have one are linked with the member of the least d + o's share of it; all
-members are tested against that one, and linked members are united. For the second kind, members of lists that still hold
-several components post themselves again under what they miss and add: the rarest added shingles first, as many as the
-least number of shared ones leaves (the prefix filter again). The new lists are handled likewise, until none holds several
-components. None of them has more than half of the voters of what it comes from, so this ends. Each filter is
-exact for any core, no link is lost by them, and a group of n copies with edits of their own, near each other or not near
-enough, costs some tests a member and never its pairs.
+members are tested against that one, by the equation and so on full sets, and linked members are united. For the second
+kind, a shared added shingle weighs 100 and a missing one `percent`: x needs partners of which it shares the weight
+
+    (100 + percent) * d(x) + percent * |x| - 100 * |P|,
+
+since what is shared counts in y's measure too. Members of lists that still hold several components count, of their
+missing and added shingles, those that another component has as well. Where these weigh too little, x has no partner
+left; the others post themselves again under the rarest ones, until what is left weighs too little (the prefix filter
+again, by counts over the whole group). The new lists are handled likewise, until none holds several components. None of
+them has more than half of the voters of what it comes from, so this ends. Short lists are tested a round later, between
+components only, as the long ones unite most of their members. Each filter is exact for any core, no link is lost by them,
+and a group of n copies with edits of their own, near each other or not near enough, costs some tests a member and never
+its pairs.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with nothing; a text of
 fewer words than a shingle has is one shingle; a null doc_id takes no part, has no component and is kept; of rows with
@@ -171,9 +178,12 @@ def shared_sets(cand: DataFrame, k: int) -> DataFrame:
 
 
 def beside(pairs: DataFrame, rows: DataFrame, **names: str) -> DataFrame:
-    """`pairs` (a, b) with the columns of `rows` (id, ..) of a, then of b, under the two new names given for each."""
+    """`pairs` (a, b) with the columns of `rows` (id, ..) of a, then of b, under the two new names given for each. Rows of b
+    that no pair has are left out before they are shuffled."""
+    second = pairs.select(F.col("b").alias("id")).distinct()
     for side, at in (("a", 0), ("b", 1)):
-        pairs = pairs.join(rows.select(F.col("id").alias(side), *[F.col(c).alias(both.split()[at]) for c, both in names.items()]), side)
+        own = rows.join(second, "id", "left_semi") if at else rows
+        pairs = pairs.join(own.select(F.col("id").alias(side), *[F.col(c).alias(both.split()[at]) for c, both in names.items()]), side)
     return pairs
 
 
@@ -207,39 +217,73 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def core(sets: list[np.ndarray]) -> np.ndarray:
-    """The shingles that more than half of the sets have, the rarest first."""
+    """The shingles that more than half of the sets have."""
     keys, n = np.unique(np.concatenate(sets), return_counts=True)
-    own = 2 * n > len(sets)
-    return keys[own][np.argsort(n[own], kind="stable")]
+    return keys[2 * n > len(sets)]
 
 
 def differences(members: DataFrame, cores: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(band, core, id, n, far, keys): for `members` (band, core, id), 100 + percent times what is missing of the core plus
-    percent times n, so that two are surely linked if theirs add up to 100 + percent times the core's size at most; and the
-    lists of missing and added shingles under which the member has to meet others."""
+    """(band, core, id, n, size, far, adds, keys): for `members` (band, core, id), the core's size; 100 + percent times what
+    is missing of the core plus percent times n, so that two are surely linked if theirs add up to 100 + percent times the
+    core's size at most; and keys of the added shingles (so many as adds says) and then of the missing ones."""
 
-    def post(batches):
+    def differ(batches):
         for batch in batches:
-            far, keys = [], []
+            size, far, adds, keys = [], [], [], []
             for c, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("core", "n", "shingles", "whole")), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 added, missing = x[np.isin(x, y, assume_unique=True, invert=True)], y[np.isin(y, x, assume_unique=True, invert=True)]
-                own = percent * n + (100 + percent) * len(missing)
-                # A partner has percent * |P| at least of this measure; shared ones are as many as both exceed the core by.
-                shared = max(1, -(-(own - 100 * len(y)) // (100 + percent)))
-                some = n + 2 * len(missing) - len(y) - shared + 1  # of the added and then the missing ones
-                least = -(-percent * n // 100) - (len(y) - len(missing))  # shared added ones, whatever is missing
-                if least >= 1:
-                    some = min(some, n - (len(y) - len(missing)) - least + 1)
-                some -= n - len(x)  # what no other has comes first and needs no posting
                 salt = np.array([c], np.int64).view(np.uint64)
-                out = np.concatenate([T.mix(added ^ T.mix(salt)), T.mix(missing ^ T.mix(~salt))])[: max(0, some)]
-                far.append(own)
-                keys.append(out.view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("band", "core", "id", "n")), pa.array(far, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["band", "core", "id", "n", "far", "keys"])
+                size.append(len(y))
+                far.append(percent * n + (100 + percent) * len(missing))
+                adds.append(len(added))
+                keys.append(np.concatenate([T.mix(added ^ T.mix(salt)), T.mix(missing ^ T.mix(~salt))]).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("band", "core", "id", "n")), *(pa.array(v, pa.int64()) for v in (size, far, adds)), pa.array(keys, pa.list_(pa.int64()))],
+                ["band", "core", "id", "n", "size", "far", "adds", "keys"],
+            )
 
     both = members.join(sets, "id").join(cores, "core")
-    return both.mapInArrow(post, "band int, core long, id long, n long, far long, keys array<long>")
+    return both.mapInArrow(differ, "band int, core long, id long, n long, size long, far long, adds long, keys array<long>")
+
+
+def beside_nearest(made: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of linked members of `made`: each with the one nearest to the core, by their differences."""
+
+    def similar(batches):
+        for batch in batches:
+            good = []
+            for size, n, m, i, j, x, y in zip(*(batch.column(c).to_pylist() for c in ("size", "n", "m", "adds", "adds2", "keys", "keys2")), strict=True):
+                same = len(np.intersect1d(np.array(x, np.int64), np.array(y, np.int64), assume_unique=True))
+                good.append(linked(n, m, size - (len(x) - i) - (len(y) - j) + same, percent))
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    nearest = made.groupBy("band", "core").agg(F.min_by("id", F.struct("far", "id")).alias("id"))
+    other = made.join(nearest, ["band", "core", "id"]).select("band", "core", F.col("id").alias("b"), F.col("n").alias("m"), F.col("adds").alias("adds2"), F.col("keys").alias("keys2"))
+    both = made.withColumnRenamed("id", "a").join(other, ["band", "core"]).where("a <> b")
+    return both.select("a", "b", "size", "n", "m", "adds", "adds2", "keys", "keys2").mapInArrow(similar, "a long, b long")
+
+
+def reposted(made: DataFrame, percent: int) -> DataFrame:
+    """(key, band, id, n): the keys under which members of `made` (with their component, own) have to meet those of other
+    components."""
+
+    def prefix(batches):
+        for batch in batches:
+            out = []
+            for need, keys in zip(batch.column("need").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                weight = np.array([k["weight"] for k in keys], np.int64)
+                rest = np.cumsum(weight[::-1])[::-1]  # of this key and all after it
+                out.append([k["key"] for k, r in zip(keys, rest.tolist(), strict=True) if r >= need])
+            yield pa.RecordBatch.from_arrays([batch.column("band"), batch.column("id"), batch.column("n"), pa.array(out, pa.list_(pa.int64()))], ["band", "id", "n", "keys"])
+
+    need = F.greatest(F.lit(1), F.col("far") - 100 * F.col("size")).alias("need")
+    rows = made.select("band", "core", "id", "n", need, "own", "adds", F.posexplode("keys").alias("pos", "key"))
+    rows = rows.select("band", "core", "id", "n", "need", "own", "key", F.when(F.col("pos") < F.col("adds"), 100).otherwise(percent).alias("weight"))
+    shared = rows.groupBy("band", "key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("many")).where("lo < hi")
+    found = rows.join(shared.select("band", "key", "many"), ["band", "key"]).groupBy("band", "core", "id", "n", "need")
+    found = found.agg(F.sum("weight").alias("whole"), F.array_sort(F.collect_list(F.struct("many", "key", "weight"))).alias("keys")).where("whole >= need")
+    return found.mapInArrow(prefix, "band int, id long, n long, keys array<long>").select(F.explode("keys").alias("key"), "band", "id", "n")
 
 
 def voted(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -304,10 +348,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     voters = F.array(*[F.col(f"v{v}") for v in range(VOTERS)]).alias("voters")
 
     def unfinished(lists: DataFrame) -> DataFrame:
-        """Members and sizes of the lists that hold several components."""
+        """Members, with their components, and sizes of the lists that hold several components."""
         own = label_of(lists.select(*member), "id", "own")
         heads = own.groupBy(*whose).agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("many")).where("lo < hi")
-        return own.join(heads.select(*whose, "many"), whose).select(*member, "many")
+        return own.join(heads.select(*whose, "many"), whose).select(*member, "own", "many")
 
     def grouped(long: DataFrame) -> DataFrame:
         """Which core each list has, and its voters. At first that is one for all lists of a group of copies: the lists
@@ -322,26 +366,42 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         elected = long.select(*whose, "id").join(heads, whose).groupBy("core").agg(*voting).select("core", voters)
         return heads.join(elected, "core")
 
+    due = None
     while True:
         lists = keep(unfinished(lists), "lists")
-        if lists.isEmpty():
+        done = lists.isEmpty()
+        if done and due is None:
             break
-        # At most SHORT members, so less than SHORT pairs for each.
-        short = lists.where(F.col("many") <= SHORT).groupBy(*whose).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-        pairs = short.select("ids", F.explode("ids").alias("a")).select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
+        found = []
+        if due is not None:
+            # At most SHORT members, so less than SHORT pairs for each.
+            ids = F.array_sort(F.collect_list(F.struct("id", "own"))).alias("ids")
+            short = unfinished(due).groupBy(*whose).agg(ids).select("ids", F.explode("ids").alias("x"))
+            others = F.filter("ids", lambda y: (y["id"] > F.col("x.id")) & (y["own"] != F.col("x.own")))
+            pairs = short.select(F.col("x.id").alias("a"), F.explode(others["id"]).alias("b")).distinct()
+            found.append(confirmed(keep(collided(pairs, signatures, least), "collided"), sets, percent))
+        made = None
+        due = None if done else lists.where(F.col("many") <= SHORT)
         long = lists.where(F.col("many") > SHORT)
-        heads = keep(grouped(long), "heads")
-        long = keep(long.join(heads.select(*whose, "core"), whose), "long")
-        cores = keep(voted(heads, sets), "cores")
-        made = keep(differences(long.select("band", "core", "id").distinct(), cores, sets.select("id", "n", "shingles"), percent), "differences")
-        nearest = made.groupBy("band", "core").agg(F.min_by("id", F.struct("far", "id")).alias("nearest"))
-        star = made.select("band", "core", "id").join(nearest, ["band", "core"]).where("id <> nearest").select(F.least("id", "nearest").alias("a"), F.greatest("id", "nearest").alias("b"))
-        pairs = pairs.unionByName(star).distinct()
-        new = keep(confirmed(keep(collided(pairs, signatures, least), "collided"), sets, percent), "links")
+        if not long.isEmpty():
+            heads = keep(grouped(long), "heads")
+            long = long.join(heads.select(*whose, "core"), whose)
+            # Written, so that their sizes are known and, where small, they go to the sets instead of these being shuffled.
+            members, cores = keep(long.select("band", "core", "id").distinct(), "members"), keep(voted(heads, sets), "cores")
+            made = keep(differences(members, cores, sets.select("id", "n", "shingles"), percent), "differences")
+            found.append(beside_nearest(made, percent))
+        if not found:
+            lists = lists.limit(0)
+            continue
+        new = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        new = keep(new, "links")
         links = new if links is None else links.unionByName(new)
         label = components(links) if label is None or not new.isEmpty() else label
-        open_ = unfinished(long).select(*whose, "id").join(heads.select(*whose, "core"), whose).select("band", "core", "id").distinct()
-        lists = made.join(open_, ["band", "core", "id"]).select(F.explode("keys").alias("key"), "band", "id", "n").distinct()
+        if made is None:
+            lists = lists.limit(0)
+            continue
+        open_ = unfinished(long).join(heads.select(*whose, "core"), whose).select("band", "core", "id", "own").distinct()
+        lists = reposted(made.join(open_, ["band", "core", "id"]), percent).distinct()
     if label is None:
         label = components(every.select(F.lit(0).alias("a"), F.lit(0).alias("b")).limit(0))
     whole = label_of(classes.select("one", "two", "n", "doc_id", "id"), "id", "of")
