@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelframe.llm import text as T
-from voxelframe.llm.components import components
+from voxelframe.llm.components import components, few, partitions
 from voxelframe.llm.rendezvous import Rendezvous, merge
 from voxelframe.session import keep, ship, table
 
@@ -178,9 +178,10 @@ def shared_sets(cand: DataFrame, k: int) -> DataFrame:
 
 
 def beside(pairs: DataFrame, rows: DataFrame, **names: str) -> DataFrame:
-    """`pairs` (a, b) with the columns of `rows` (id, ..) of a, then of b, under the two new names given for each. Rows of b
+    """`pairs` (a, b), a written table, with the columns of `rows` (id, ..) of a, then of b, under the two new names given for each. Rows of b
     that no pair has are left out before they are shuffled."""
-    second = pairs.select(F.col("b").alias("id")).distinct()
+    second = pairs.select(F.col("b").alias("id"))
+    pairs, second = few(pairs), few(second)
     for side, at in (("a", 0), ("b", 1)):
         own = rows.join(second, "id", "left_semi") if at else rows
         pairs = pairs.join(own.select(F.col("id").alias(side), *[F.col(c).alias(both.split()[at]) for c, both in names.items()]), side)
@@ -243,7 +244,7 @@ def differences(members: DataFrame, cores: DataFrame, sets: DataFrame, percent:
                 ["band", "core", "id", "n", "size", "far", "adds", "keys"],
             )
 
-    both = members.join(sets, "id").join(cores, "core")
+    both = sets.join(few(members), "id").join(few(cores), "core").select("band", "core", "id", "n", "shingles", "whole")
     return both.mapInArrow(differ, "band int, core long, id long, n long, size long, far long, adds long, keys array<long>")
 
 
@@ -258,15 +259,16 @@ def beside_nearest(made: DataFrame, percent: int) -> DataFrame:
                 good.append(linked(n, m, size - (len(x) - i) - (len(y) - j) + same, percent))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    nearest = made.groupBy("band", "core").agg(F.min_by("id", F.struct("far", "id")).alias("id"))
-    other = made.join(nearest, ["band", "core", "id"]).select("band", "core", F.col("id").alias("b"), F.col("n").alias("m"), F.col("adds").alias("adds2"), F.col("keys").alias("keys2"))
-    both = made.withColumnRenamed("id", "a").join(other, ["band", "core"]).where("a <> b")
+    own = made.select("band", "core", "id", "far").repartition(partitions(made), "band", "core")
+    nearest = keep(own.groupBy("band", "core").agg(F.min_by("id", F.struct("far", "id")).alias("id")), "nearest")
+    other = made.join(few(nearest), ["band", "core", "id"]).select("band", "core", F.col("id").alias("b"), F.col("n").alias("m"), F.col("adds").alias("adds2"), F.col("keys").alias("keys2"))
+    both = made.withColumnRenamed("id", "a").join(few(keep(other, "nearest")), ["band", "core"]).where("a <> b")
     return both.select("a", "b", "size", "n", "m", "adds", "adds2", "keys", "keys2").mapInArrow(similar, "a long, b long")
 
 
-def reposted(made: DataFrame, percent: int) -> DataFrame:
+def reposted(made: DataFrame, percent: int, n: int) -> DataFrame:
     """(key, band, id, n): the keys under which members of `made` (with their component, own) have to meet those of other
-    components."""
+    components. Rows are dealt into n partitions."""
 
     def prefix(batches):
         for batch in batches:
@@ -279,9 +281,9 @@ def reposted(made: DataFrame, percent: int) -> DataFrame:
 
     need = F.greatest(F.lit(1), F.col("far") - 100 * F.col("size")).alias("need")
     rows = made.select("band", "core", "id", "n", need, "own", "adds", F.posexplode("keys").alias("pos", "key"))
-    rows = rows.select("band", "core", "id", "n", "need", "own", "key", F.when(F.col("pos") < F.col("adds"), 100).otherwise(percent).alias("weight"))
+    rows = rows.select("band", "core", "id", "n", "need", "own", "key", F.when(F.col("pos") < F.col("adds"), 100).otherwise(percent).alias("weight")).repartition(n, "band", "key")
     shared = rows.groupBy("band", "key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("many")).where("lo < hi")
-    found = rows.join(shared.select("band", "key", "many"), ["band", "key"]).groupBy("band", "core", "id", "n", "need")
+    found = rows.join(shared.select("band", "key", "many"), ["band", "key"]).repartition(n, "band", "core", "id").groupBy("band", "core", "id", "n", "need")
     found = found.agg(F.sum("weight").alias("whole"), F.array_sort(F.collect_list(F.struct("many", "key", "weight"))).alias("keys")).where("whole >= need")
     return found.mapInArrow(prefix, "band int, id long, n long, keys array<long>").select(F.explode("keys").alias("key"), "band", "id", "n")
 
@@ -327,7 +329,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     single = classes.select(F.col("id").alias("doc_id"), "n", "signature")
     posted = keep(postings(single, least), "postings")
     home = keep(posted.select(F.col("doc_id").alias("id")).join(classes.select("id", "doc_id", "one"), "id"), "homes")
-    cand = docs.select("doc_id", "text").join(home.select("doc_id").distinct(), "doc_id").mapInArrow(lambda batches: _digested(batches, k), "doc_id long, text string, one long")
+    cand = docs.select("doc_id", "text").join(few(home.select("doc_id")), "doc_id", "left_semi").mapInArrow(lambda batches: _digested(batches, k), "doc_id long, text string, one long")
     cand = keep(cand.join(home, ["doc_id", "one"]).dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "text"), "candidates")
     sets = keep(shared_sets(cand, k).where(100 * F.length("shingles") / 8 >= percent * F.col("n")), "sets")
     signatures = keep(single.withColumnRenamed("doc_id", "id").select("id", "signature").join(sets.select("id"), "id"), "signatures")
@@ -339,7 +341,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         if label is None:
             return rows.withColumn(name, F.col(column))
         found = label.select(F.col("node").alias(column), F.col("component").alias(name))
-        return rows.join(found, column, "left").withColumn(name, F.coalesce(name, F.col(column)))
+        return rows.join(few(found), column, "left").withColumn(name, F.coalesce(name, F.col(column)))
 
     whose, member = ["key", "band"], ["key", "band", "id", "n"]
     part = F.pmod(F.xxhash64("id"), F.lit(VOTERS))
@@ -347,9 +349,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     voting = [F.min(F.when(part == v, F.col("id"))).alias(f"v{v}") for v in range(VOTERS)]
     voters = F.array(*[F.col(f"v{v}") for v in range(VOTERS)]).alias("voters")
 
-    def unfinished(lists: DataFrame) -> DataFrame:
-        """Members, with their components, and sizes of the lists that hold several components."""
-        own = label_of(lists.select(*member), "id", "own")
+    def unfinished(lists: DataFrame, n: int) -> DataFrame:
+        """Members, with their components, and sizes of the lists that hold several components, dealt into n partitions."""
+        own = label_of(lists.select(*member), "id", "own").repartition(n, *whose)
         heads = own.groupBy(*whose).agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("many")).where("lo < hi")
         return own.join(heads.select(*whose, "many"), whose).select(*member, "own", "many")
 
@@ -366,9 +368,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         elected = long.select(*whose, "id").join(heads, whose).groupBy("core").agg(*voting).select("core", voters)
         return heads.join(elected, "core")
 
-    due = None
+    due, n = None, partitions(posted)
     while True:
-        lists = keep(unfinished(lists), "lists")
+        lists = keep(unfinished(lists, n), "lists")
+        n = partitions(lists)
         done = lists.isEmpty()
         if done and due is None:
             break
@@ -376,18 +379,19 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         if due is not None:
             # At most SHORT members, so less than SHORT pairs for each.
             ids = F.array_sort(F.collect_list(F.struct("id", "own"))).alias("ids")
-            short = unfinished(due).groupBy(*whose).agg(ids).select("ids", F.explode("ids").alias("x"))
+            short = unfinished(due, due_n).groupBy(*whose).agg(ids).select("ids", F.explode("ids").alias("x"))
             others = F.filter("ids", lambda y: (y["id"] > F.col("x.id")) & (y["own"] != F.col("x.own")))
-            pairs = short.select(F.col("x.id").alias("a"), F.explode(others["id"]).alias("b")).distinct()
+            pairs = short.select(F.col("x.id").alias("a"), F.explode(others["id"]).alias("b"))
+            pairs = keep(pairs.repartition(due_n, "a", "b").distinct(), "pairs")
             found.append(confirmed(keep(collided(pairs, signatures, least), "collided"), sets, percent))
         made = None
-        due = None if done else lists.where(F.col("many") <= SHORT)
+        due, due_n = (None if done else lists.where(F.col("many") <= SHORT)), n
         long = lists.where(F.col("many") > SHORT)
         if not long.isEmpty():
-            heads = keep(grouped(long), "heads")
-            long = long.join(heads.select(*whose, "core"), whose)
+            heads = keep(grouped(long.repartition(n, *whose)), "heads")
+            long = long.join(few(heads.select(*whose, "core")), whose)
             # Written, so that their sizes are known and, where small, they go to the sets instead of these being shuffled.
-            members, cores = keep(long.select("band", "core", "id").distinct(), "members"), keep(voted(heads, sets), "cores")
+            members, cores = keep(long.select("band", "core", "id").repartition(n, "band", "core", "id").distinct(), "members"), keep(voted(heads, sets), "cores")
             made = keep(differences(members, cores, sets.select("id", "n", "shingles"), percent), "differences")
             found.append(beside_nearest(made, percent))
         if not found:
@@ -400,8 +404,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         if made is None:
             lists = lists.limit(0)
             continue
-        open_ = unfinished(long).join(heads.select(*whose, "core"), whose).select("band", "core", "id", "own").distinct()
-        lists = reposted(made.join(open_, ["band", "core", "id"]), percent).distinct()
+        open_ = unfinished(long, n).join(few(heads.select(*whose, "core")), whose).select("band", "core", "id", "own").repartition(n, "band", "core", "id").distinct()
+        n = partitions(made)
+        lists = reposted(made.join(few(keep(open_, "open")), ["band", "core", "id"]), percent, n)
     if label is None:
         label = components(every.select(F.lit(0).alias("a"), F.lit(0).alias("b")).limit(0))
     whole = label_of(classes.select("one", "two", "n", "doc_id", "id"), "id", "of")
