@@ -285,3 +285,43 @@ def test_hot_groups_of_edited_copies(spark):
                 root[max(x, y)] = min(x, y)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {i: find(i) for i in sets} and 1 < len(set(got.values())) < len(docs)
+
+
+def test_hot_groups_of_near_copies_end_in_few_jobs(spark):
+    """A group's components come from one task, not from rounds of lists over the cluster, and are those of the rounds."""
+    rng = np.random.RandomState(5)
+    docs = []
+    for i in range(150):
+        w = [f"w{k}" for k in range(90)] + [f"{'uv'[i % 2]}{k}" for k in range(30)]
+        for k in rng.choice(120, 2 + i % 7, replace=False):
+            w[k] = f"e{rng.randint(12)}"
+        docs.append((i, " ".join(w)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.nextJobId()
+    got = rows(neardup.near_duplicates(docs))
+    assert scheduler.nextJobId() - before < 200
+    assert got == rows(neardup.near_duplicates(docs, within=0))
+    assert 2 < len({r[2] for r in got}) < 150
+
+
+@pytest.mark.parametrize("percent", [50, 85, 100])
+def test_components_within_a_task(percent):
+    rng = np.random.RandomState(percent)
+    for _ in range(150):
+        centres = [rng.choice(200, rng.randint(5, 60), replace=False) for _ in range(rng.randint(1, 4))]
+        sets = []
+        for _ in range(rng.randint(1, 40)):
+            x = rng.permutation(centres[rng.randint(len(centres))])
+            lost = rng.randint(0, len(x) // 3 + 1)
+            sets.append(np.unique(np.concatenate([x[lost:], rng.randint(0, 230, rng.randint(0, lost + 1))])).astype(np.uint64))
+        n = np.array([len(x) + rng.randint(0, 2) for x in sets])
+        own = [set(x.tolist()) for x in sets]
+        want = list(range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                same = len(own[a] & own[b])
+                if 100 * same >= percent * (n[a] + n[b] - same):
+                    want = [want[a] if w == want[b] else w for w in want]
+        got = neardup.united(n, sets, percent).tolist()
+        assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))

@@ -17,10 +17,15 @@ A posting list of more than SHORT members is not expanded into its pairs. A few
 lists of a group of copies, vote for a core P: the shingles that more than half of them have. Against it a member x has
 some shingles missing (d of them) and some added. With o(x, y) the least intersection that links x and y,
 
-    |x & y| = |P| - d(x) - d(y) + shared missing ones + shared added ones,
+    |x & y| = |P| - d(x) - d(y) + shared missing ones + shared added ones.
 
-so either |P| - d(x) - d(y) >= o(x, y), and x and y are linked, or they are linked only if they share a missing or added
-shingle. Of the first kind of pairs, all that have one are linked with the member of the least d + o's share of it; all
+Groups of WITHIN shingles at most are settled in one task each (`united`), with the majority of all members as the core. By
+that equation it needs no sets but differences: a member is tested against those of other components that share enough
+of its missing and added shingles, by the prefix filter; what only one component has is left out again and again, and
+members of the largest component ask nothing, as others ask them. That finds all links between components.
+
+Larger groups go through rounds over the whole cluster. Either |P| - d(x) - d(y) >= o(x, y), and x and y are linked, or
+they are linked only if they share a missing or added shingle. Of the first kind of pairs, all that have one are linked with the member of the least d + o's share of it; all
 members are tested against that one, by the equation and so on full sets, and linked members are united. For the second
 kind, a shared added shingle weighs 100 and a missing one `percent`: x needs partners of which it shares the weight
 
@@ -31,9 +36,10 @@ missing and added shingles, those that another component has as well. Where thes
 left; the others post themselves again under the rarest ones, until what is left weighs too little (the prefix filter
 again, by counts over the whole group). The new lists are handled likewise, until none holds several components. None of
 them has more than half of the voters of what it comes from, so this ends. Short lists are tested a round later, between
-components only, as the long ones unite most of their members. Each filter is exact for any core, no link is lost by them,
-and a group of n copies with edits of their own, near each other or not near enough, costs some tests a member and never
-its pairs.
+components only, as the long ones unite most of their members. Each filter is exact for any core and no link is lost by
+them. A group of n copies with edits of their own, near each other or not near enough, costs some tests a member over the
+cluster. Within a task, members that share differences with many others and are linked with none of them are tested
+against all these, which WITHIN bounds.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with nothing; a text of
 fewer words than a shingle has is one shingle; a null doc_id takes no part, has no component and is kept; of rows with
@@ -43,6 +49,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb, log
 
 import numpy as np
@@ -58,6 +65,8 @@ from voxelframe.session import keep, ship, table
 COORDINATES, MISS = 64, 1e-7
 #: A list of so many members is tested pair by pair; in longer ones so many vote for a core.
 SHORT, VOTERS = 12, 15
+#: Shingles of the sets of a group of lists that one task settles (16 MB of hashes).
+WITHIN = 2 << 20
 _RNG = np.random.Generator(np.random.PCG64(77))
 FACTOR = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64) | np.uint64(1)
 TERM = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
@@ -288,6 +297,78 @@ def reposted(made: DataFrame, percent: int, n: int) -> DataFrame:
     return found.mapInArrow(prefix, "band int, id long, n long, keys array<long>").select(F.explode("keys").alias("key"), "band", "id", "n")
 
 
+def united(n: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each of the sets (of n shingles, these being all that others may have) the number of one that stands for its component."""
+    m, each = len(sets), 100 + percent
+    keys, key = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(m), [len(x) for x in sets])
+    common = 2 * np.bincount(key, minlength=len(keys)) > m
+    size = int(common.sum())
+    own = common[key]
+    inside = np.zeros((m, size), bool)
+    inside[row[own], (np.cumsum(common) - 1)[key[own]]] = True
+    far = percent * n + each * (size - inside.sum(1))
+    # x and y are linked if they share so many differences: (far(x) + far(y)) / each - size.
+    lost_row, lost = np.nonzero(~inside)
+    row, key = np.concatenate([row[~own], lost_row]), np.concatenate([key[~own], len(keys) + lost])
+    del inside, lost_row, lost, own
+    order = np.argsort(key, kind="stable")
+    row, key = row[order], key[order]
+    label, asked = np.arange(m), np.zeros(m, bool)
+    label[far + far.min() <= each * size] = np.argmin(far)
+    need = np.maximum(1, -((each * size - far - far.min()) // each))
+    while True:
+        # What one component alone has makes no link to others, and members that have asked have met all.
+        left = ~asked[row]
+        row, key = row[left], key[left]
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        if not len(start):
+            return label
+        many, of = np.diff(start, append=len(key)), label[row]
+        several = np.minimum.reduceat(of, start) < np.maximum.reduceat(of, start)
+        left = np.repeat(several, many)
+        row, many = row[left], many[several]
+        key = np.repeat(np.arange(len(many)), many)
+        start, has = np.cumsum(many) - many, np.bincount(row, minlength=m)
+        own, first = key[np.argsort(row, kind="stable")], np.cumsum(has) - has
+        mark = np.zeros(len(many), bool)
+        ask = np.flatnonzero(~asked & (has >= need) & (label != np.argmax(np.bincount(label))))
+        if not len(ask):
+            return label
+        moved = 0
+        for x in ask[np.argsort(far[ask], kind="stable")].tolist():
+            asked[x] = True
+            mine = own[first[x] : first[x] + has[x]]
+            rare = mine[np.argsort(many[mine], kind="stable")][: len(mine) - need[x] + 1]
+            others = np.unique(row[T.take_ranges(start[rare], many[rare])])
+            others = others[label[others] != label[x]]
+            if not len(others):
+                continue
+            mark[mine] = True
+            same = np.add.reduceat(mark[own[T.take_ranges(first[others], has[others])]], np.cumsum(has[others]) - has[others], dtype=np.int64)
+            mark[mine] = False
+            partners = others[each * (size + same) >= far[x] + far[others]]
+            if len(partners):
+                gone = np.unique(label[partners])
+                label[np.isin(label, gone)] = label[x]
+                moved += len(gone)
+                if 8 * moved >= len(ask):
+                    break
+
+
+def settled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that hold the components of each of the groups of `members` (band, core, id) together, a task for each group."""
+
+    def run(group):
+        label = united(np.asarray(group["n"]), [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()], percent)
+        a = np.flatnonzero(label != np.arange(len(label)))
+        ids = np.asarray(group["id"])
+        return pa.table({"a": ids[a], "b": ids[label[a]]})
+
+    both = sets.join(few(members), "id").select("band", "core", "id", "n", "shingles")
+    return both.groupBy("band", "core").applyInArrow(run, "a long, b long")
+
+
 def voted(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """(core, whole): the cores by the voters of `lists` (core, voters)."""
 
@@ -315,9 +396,10 @@ def digest_of(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, within: int = WITHIN) -> DataFrame:
     """A row for each of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept. Documents are linked if 100
-    times their sets' intersection is at least `percent` times their union."""
+    times their sets' intersection is at least `percent` times their union. Groups of at most `within` shingles are
+    settled in one task each."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     least = least_matches(percent / 100)
@@ -356,26 +438,16 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         return own.join(heads.select(*whose, "many"), whose).select(*member, "own", "many")
 
     def grouped(long: DataFrame) -> DataFrame:
-        """Which core each list has, and its voters. At first that is one for all lists of a group of copies: the lists
-        whose members meet the same least id in their lists. Later on, when lists are parts of groups, each has its own
-        voters, and lists of the same ones share the core."""
+        """Which core each list has. At first that is one for all lists of a group of copies: the lists whose members meet
+        the same least id in their lists. Later on, when lists are parts of groups, those of the same voters share it."""
         if label is not None:
-            heads = long.groupBy(*whose).agg(*voting).select(*whose, voters)
-            return heads.withColumn("core", F.xxhash64("voters"))
+            return long.groupBy(*whose).agg(*voting).select(*whose, F.xxhash64(voters).alias("core"))
         met = long.groupBy(*whose).agg(F.min("id").alias("least")).join(long.select(*whose, "id"), whose).groupBy("band", "id").agg(F.min("least").alias("least"))
-        heads = long.select(*whose, "id").join(met, ["band", "id"]).groupBy(*whose).agg(F.xxhash64("band", F.min("least")).alias("core"))
-        heads = keep(heads, "heads")
-        elected = long.select(*whose, "id").join(heads, whose).groupBy("core").agg(*voting).select("core", voters)
-        return heads.join(elected, "core")
+        return long.select(*whose, "id").join(met, ["band", "id"]).groupBy(*whose).agg(F.xxhash64("band", F.min("least")).alias("core"))
 
     due, n = None, partitions(posted)
-    while True:
-        lists = keep(unfinished(lists, n), "lists")
-        n = partitions(lists)
-        done = lists.isEmpty()
-        if done and due is None:
-            break
-        found = []
+    while lists is not None or due is not None:
+        found, made, long = [], None, None
         if due is not None:
             # At most SHORT members, so less than SHORT pairs for each.
             ids = F.array_sort(F.collect_list(F.struct("id", "own"))).alias("ids")
@@ -383,30 +455,39 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
             others = F.filter("ids", lambda y: (y["id"] > F.col("x.id")) & (y["own"] != F.col("x.own")))
             pairs = short.select(F.col("x.id").alias("a"), F.explode(others["id"]).alias("b"))
             pairs = keep(pairs.repartition(due_n, "a", "b").distinct(), "pairs")
-            found.append(confirmed(keep(collided(pairs, signatures, least), "collided"), sets, percent))
-        made = None
-        due, due_n = (None if done else lists.where(F.col("many") <= SHORT)), n
-        long = lists.where(F.col("many") > SHORT)
-        if not long.isEmpty():
+            if not pairs.isEmpty():
+                found.append(confirmed(keep(collided(pairs, signatures, least), "collided"), sets, percent))
+            due = None
+        if lists is not None:
+            lists = keep(unfinished(lists, n), "lists")
+            n = partitions(lists)
+            if not lists.isEmpty():
+                due, due_n = lists.where(F.col("many") <= SHORT), n
+                long = lists.where(F.col("many") > SHORT)
+                long = None if long.isEmpty() else long
+        if long is not None:
             heads = keep(grouped(long.repartition(n, *whose)), "heads")
-            long = long.join(few(heads.select(*whose, "core")), whose)
+            long = long.join(few(heads), whose)
             # Written, so that their sizes are known and, where small, they go to the sets instead of these being shuffled.
-            members, cores = keep(long.select("band", "core", "id").repartition(n, "band", "core", "id").distinct(), "members"), keep(voted(heads, sets), "cores")
-            made = keep(differences(members, cores, sets.select("id", "n", "shingles"), percent), "differences")
-            found.append(beside_nearest(made, percent))
-        if not found:
-            lists = lists.limit(0)
-            continue
-        new = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-        new = keep(new, "links")
-        links = new if links is None else links.unionByName(new)
-        label = components(links) if label is None or not new.isEmpty() else label
-        if made is None:
-            lists = lists.limit(0)
-            continue
-        open_ = unfinished(long, n).join(few(heads.select(*whose, "core")), whose).select("band", "core", "id", "own").repartition(n, "band", "core", "id").distinct()
-        n = partitions(made)
-        lists = reposted(made.join(few(keep(open_, "open")), ["band", "core", "id"]), percent, n)
+            members = keep(long.select("band", "core", "id", "n").repartition(n, "band", "core", "id").distinct(), "members")
+            crowds = keep(members.groupBy("band", "core").agg(F.sum("n").alias("whole")).where(F.col("whole") > within).select("band", "core"), "crowds")
+            crowded = not crowds.isEmpty()
+            rest = keep(members.join(few(crowds), ["band", "core"], "left_anti"), "members") if crowded else members
+            found.append(settled(rest.select("band", "core", "id"), sets.select("id", "n", "shingles"), percent))
+            if crowded:
+                long, members = (x.join(few(crowds), ["band", "core"], "left_semi") for x in (long, members.select("band", "core", "id")))
+                cores = keep(voted(long.groupBy("core").agg(*voting).select("core", voters), sets), "cores")
+                made = keep(differences(keep(members, "members"), cores, sets.select("id", "n", "shingles"), percent), "differences")
+                found.append(beside_nearest(made, percent))
+        if found:
+            new = keep(reduce(DataFrame.unionByName, found), "links")
+            links = new if links is None else links.unionByName(new)
+            label = components(links) if label is None or not new.isEmpty() else label
+        lists = None
+        if made is not None:
+            open_ = unfinished(long, n).join(few(heads), whose).select("band", "core", "id", "own").repartition(n, "band", "core", "id").distinct()
+            n = partitions(made)
+            lists = reposted(made.join(few(keep(open_, "open")), ["band", "core", "id"]), percent, n)
     if label is None:
         label = components(every.select(F.lit(0).alias("a"), F.lit(0).alias("b")).limit(0))
     whole = label_of(classes.select("one", "two", "n", "doc_id", "id"), "id", "of")
