@@ -3,11 +3,13 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxelframe.llm import linededup, lm, neardup, substring, suffix
 
@@ -325,3 +327,16 @@ def test_components_within_a_task(percent):
                     want = [want[a] if w == want[b] else w for w in want]
         got = neardup.united(n, sets, percent).tolist()
         assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in (str(x) for x in disk.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f}
+    before = files()
+    made = neardup.keep(spark.range(1000).groupBy((F.col("id") % 7).alias("key")).count(), "counts")
+    assert {r["count"] for r in made.collect()} == {142, 143}
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before

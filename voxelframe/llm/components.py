@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.session import input_bytes, keep, shuffle_partitions
+from voxelframe import session
+from voxelframe.session import input_bytes, shuffle_partitions
 
 #: Bytes of written tables that go to each task beside a larger table, at most, and that a partition is made for.
 FEW, SHARE = 8 << 20, 1 << 20
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """As the session's, and the shuffle files behind the written table go at once: nothing reads them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return session.keep(df, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def few(written: DataFrame) -> DataFrame:
     """A written table, to be broadcast if its files have at most FEW bytes; larger ones are joined by shuffles."""
     return F.broadcast(written) if 0 < input_bytes(written) <= FEW else written

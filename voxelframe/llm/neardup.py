@@ -54,13 +54,13 @@ from math import comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelframe.llm import text as T
-from voxelframe.llm.components import components, few, partitions
+from voxelframe.llm.components import components, few, keep, partitions
 from voxelframe.llm.rendezvous import Rendezvous, merge
-from voxelframe.session import keep, ship, table
+from voxelframe.session import ship, table
 
 COORDINATES, MISS = 64, 1e-7
 #: A list of so many members is tested pair by pair; in longer ones so many vote for a core.
@@ -433,17 +433,18 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, within: int
 
     def unfinished(lists: DataFrame, n: int) -> DataFrame:
         """Members, with their components, and sizes of the lists that hold several components, dealt into n partitions."""
-        own = label_of(lists.select(*member), "id", "own").repartition(n, *whose)
-        heads = own.groupBy(*whose).agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("many")).where("lo < hi")
-        return own.join(heads.select(*whose, "many"), whose).select(*member, "own", "many")
+        own, all_of = label_of(lists.select(*member), "id", "own").repartition(n, *whose), Window.partitionBy(*whose)
+        own = own.select("*", F.min("own").over(all_of).alias("lo"), F.max("own").over(all_of).alias("hi"), F.count("*").over(all_of).alias("many"))
+        return own.where("lo < hi").select(*member, "own", "many")
 
     def grouped(long: DataFrame) -> DataFrame:
         """Which core each list has. At first that is one for all lists of a group of copies: the lists whose members meet
         the same least id in their lists. Later on, when lists are parts of groups, those of the same voters share it."""
         if label is not None:
             return long.groupBy(*whose).agg(*voting).select(*whose, F.xxhash64(voters).alias("core"))
-        met = long.groupBy(*whose).agg(F.min("id").alias("least")).join(long.select(*whose, "id"), whose).groupBy("band", "id").agg(F.min("least").alias("least"))
-        return long.select(*whose, "id").join(met, ["band", "id"]).groupBy(*whose).agg(F.xxhash64("band", F.min("least")).alias("core"))
+        least = F.min("id").over(Window.partitionBy(*whose)).alias("least")
+        met = long.select(*whose, "id", least).withColumn("least", F.min("least").over(Window.partitionBy("band", "id")))
+        return met.groupBy(*whose).agg(F.xxhash64("band", F.min("least")).alias("core"))
 
     due, n = None, partitions(posted)
     while lists is not None or due is not None:
