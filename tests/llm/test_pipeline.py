@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from voxelframe.llm import bpe, toxicity
+from voxelframe.llm import bpe, neardup, toxicity
 from voxelframe.llm import text as T
 
 DIR = "/root/testdata/sf0.001"
@@ -138,3 +138,28 @@ def test_stages_on_odd_rows(spark):
     assert [i for i, _, _ in left if i is not None] == [1, 2, 3, 4, 5, 5, 7, 8, 9, 9]
     assert sum(i is None for i, _, _ in left) == 2 and all(g.startswith("grp") for _, _, g in left)
     assert [n for i, n, _ in left if i in (1, 2, 8)] == [0, 0, 0]
+
+
+def test_near_copies_of_a_hot_group(spark, monkeypatch):
+    """A group of edited copies loses all but one of each component, without lists that are posted again."""
+    rng = np.random.RandomState(9)
+    docs = []
+    for i in range(60):
+        w = [f"w{k}" for k in range(150)]
+        for k in rng.choice(150, 1 + i % 7, replace=False):
+            w[k] = f"e{rng.randint(12)}"
+        docs.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in docs]
+    root = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    import corpus_pipeline
+
+    calls = []
+    monkeypatch.setattr(neardup, "reposted", lambda *a, put=neardup.reposted: calls.append(a) or put(*a))
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(root)) and 1 < len(set(root)) < 60
+    assert not calls
