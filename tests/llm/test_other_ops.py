@@ -225,3 +225,15 @@ def test_words_and_spans():
     buf, off = T.flat(pa.array(["a bc", None, "", "  dé "]))
     s, e, row = T.spans(buf, off)
     assert [bytes(buf[a:b]).decode() for a, b in zip(s, e, strict=True)] == ["a", "bc", "dé"] and row.tolist() == [0, 0, 3]
+
+
+def test_known_chunks_are_not_counted_again(monkeypatch):
+    """Chunks that are remembered take no more room when they come again, so they are not forgotten and encoded anew."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 6)
+    asked, library = [], bpe.Library(bpe.default_path())
+    encode = bpe.Encoder(bpe.default_path(), lambda _: lambda chunks: (asked.extend(chunks), library(chunks))[1])
+    for text, new in ((b"one two three four", 4), (b"one two three four", 0), (b"one five", 1), (b"six seven eight nine one", 5)):
+        asked.clear()
+        ids, n = encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert ids.tolist() == library.tokenizer.encode(text.decode(), add_special_tokens=False).ids and n.tolist() == [len(ids)]
+        assert len(asked) == new, text

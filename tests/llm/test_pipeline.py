@@ -3,9 +3,11 @@
 import math
 import os
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxelframe.llm import bpe, neardup, toxicity
@@ -163,3 +165,36 @@ def test_near_copies_of_a_hot_group(spark, monkeypatch):
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(root)) and 1 < len(set(root)) < 60
     assert not calls
+
+
+class Caught:
+    """In place of a DataFrame: gives the function that would run over its batches."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, fn, _):
+        return fn
+
+
+def test_encoding_takes_little_memory(spark):
+    """A worker has a small share of an executor's memory: it encodes a batch in small chunks, and remembers in arrays."""
+    words = " ".join(f"word{k % 500}" for k in range(200_000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": [words[k : k + 130_000] for k in range(60)]})
+    run = bpe.encode_decode(Caught(spark))
+    for _ in run(iter([batch.slice(0, 1)])):  # loads the vocabulary
+        pass
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([batch]))) == 60
+        assert tracemalloc.get_traced_memory()[1] < 120 << 20
+        made = bpe.Encoder(bpe.default_path(), lambda _: lambda chunks: (np.ones(len(chunks), np.int64), np.ones(len(chunks), np.int64)))
+        buf = np.frombuffer(" ".join(map(str, range(100_000))).encode(), np.uint8)
+        before = tracemalloc.get_traced_memory()[0]
+        made(buf, np.array([0, len(buf)]))
+        assert tracemalloc.get_traced_memory()[0] - before < 60 * 100_000
+    finally:
+        tracemalloc.stop()

@@ -59,6 +59,12 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    """Read without the vocabulary, whose checks of all tokens take seconds in each worker."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -282,22 +288,30 @@ class Encoder:
     def __init__(self, path: str, base=Speculative):
         import regex
 
-        self.base, self.special = base(path), vocabulary(path).special
+        self.base, self.special = base(path), special_tokens(path)
         self.pieces = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.pool, self.starts, self.sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        self.used = 0
+        """Arrays instead of a dictionary, which had a few times their size."""
+        self.known, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def learn(self, hashes: list[int], chunks: list[bytes]) -> None:
+    def learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        """hashes: sorted, none of them known."""
         ids, size = self.base(chunks)
-        self.slot.update(zip(hashes, range(len(self.slot), len(self.slot) + len(hashes)), strict=True))
-        self.pool.append(ids.astype(np.uint32))
-        self.starts.append(self.used + np.cumsum(size) - size)
-        self.sizes.append(size)
-        self.used += int(size.sum())
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.starts = np.insert(self.starts, at, len(self.pool) + np.cumsum(size) - size)
+        self.sizes = np.insert(self.sizes, at, size)
+        self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of hashes among those known, and whether they are there."""
+        at = np.searchsorted(self.known, hashes)
+        if not len(self.known):
+            return at, np.zeros(len(hashes), bool)
+        return at, self.known[np.minimum(at, len(self.known) - 1)] == hashes
 
     def whole(self, text: str) -> np.ndarray:
         out: list[int] = []
@@ -321,19 +335,21 @@ class Encoder:
         plain = ~np.isin(row, odd)
         start, end, row = start[plain], end[plain], row[plain]
         code, kinds = pd.factorize(T.span_hash(T.prefix(buf), start, end, buf))
-        if len(self.slot) + len(kinds) > REMEMBERED:
+        at, seen = self.find(kinds)
+        if len(self.known) + len(kinds) - int(seen.sum()) > REMEMBERED:
             self.forget()
-        kinds = kinds.tolist()
-        new = np.array([k for k, h in enumerate(kinds) if h not in self.slot], np.int64)
+            at, seen = self.find(kinds)
+        new = np.flatnonzero(~seen)
         if len(new):
+            new = new[np.argsort(kinds[new])]
             sample = np.empty(len(kinds), np.int64)
             sample[code[::-1]] = np.arange(len(code))[::-1]
             data = buf.tobytes()
-            self.learn([kinds[k] for k in new.tolist()], [data[a:b] for a, b in zip(start[sample[new]].tolist(), end[sample[new]].tolist(), strict=True)])
-            self.pool, self.starts, self.sizes = ([np.concatenate(x)] for x in (self.pool, self.starts, self.sizes))
-        slot = np.array([self.slot[h] for h in kinds], np.int64)[code] if len(code) else np.zeros(0, np.int64)
-        size = self.sizes[0][slot]
-        ids = self.pool[0][T.take_ranges(self.starts[0][slot], size)]
+            self.learn(kinds[new], [data[a:b] for a, b in zip(start[sample[new]].tolist(), end[sample[new]].tolist(), strict=True)])
+            at, _ = self.find(kinds)
+        slot = at[code]
+        size = self.sizes[slot].astype(np.int64)
+        ids = self.pool[T.take_ranges(self.starts[slot], size)]
         n = np.bincount(row, size, len(off) - 1).astype(np.int64)
         if len(odd):
             cut = np.cumsum(n) - n
@@ -376,7 +392,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_text: bool = Fa
         encode, vocab = encoder(path), vocabulary(path)
         for batch in batches:
             columns = pa.Table.from_batches([batch])
-            for i, j, buf, off in T.chunks(*T.flat(batch.column("text")), 4 * T.CHUNK):
+            for i, j, buf, off in T.chunks(*T.flat(batch.column("text"))):  # small, as a worker's memory is several times a chunk
                 ids, n = encode(buf, off)
                 cut = np.concatenate([[0], np.cumsum(n)])
                 data, at = decode(ids, vocab)
