@@ -237,3 +237,42 @@ def test_known_chunks_are_not_counted_again(monkeypatch):
         ids, n = encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
         assert ids.tolist() == library.tokenizer.encode(text.decode(), add_special_tokens=False).ids and n.tolist() == [len(ids)]
         assert len(asked) == new, text
+
+
+class Asked:
+    """The tokenizers library's tokenizer, with the texts that it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_library_takes_many_chunks_in_a_text():
+    """Chunks share texts, and each has the ids that it has alone, odd ones and those that end in white space included."""
+    base = bpe.Library(bpe.default_path())
+    base.tokenizer = asked = Asked(library := base.tokenizer)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abceinté日.'!1") for _ in range(rng.randrange(1, 9))) for _ in range(1200)]
+    plain = [rng.choice(["", " ", "  ", "\n", "\t "]) + w for w in words]
+    for chunks, most in ((plain, len(plain) // 50), (plain[:90] + [t or "" for t in ODD] + ["\n", "x \n", "\x1c", "\xa0x", "<|endo", "ftext|>"] + plain[90:200], 60)):
+        asked.texts.clear()
+        ids, n = base([c.encode() for c in chunks])
+        want = [library.encode(c, add_special_tokens=False).ids for c in chunks]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+        assert len(asked.texts) <= most
+
+
+def test_fine_chunks(library):
+    """A word is encoded once whatever follows it; ids are those of whole texts."""
+    encode = bpe.Encoder(bpe.default_path(), bpe.Library, fine=True)
+    some = ["don't ''s 's1 1's a's.'s x'1 'S", "word. word, (word) word1 1word word*** word", "a.b\xa0c.d", "é.é 1é ²1 a²", "<|endo ftext|>", "<|endof.text|>"] + [t or "" for t in texts()]
+    ids, n = encode(*T.flat(pa.array(some)))
+    want = [library.encode(t, add_special_tokens=False).ids for t in some]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    encode.forget()
+    asked, encode.base = [], lambda chunks, base=encode.base: (asked.extend(chunks), base(chunks))[1]
+    encode(*T.flat(pa.array([some[1]])))
+    assert sorted(asked) == sorted([b"word", b" word", b".", b",", b" (", b")", b"1", b" 1", b"***"])

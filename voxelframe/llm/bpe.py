@@ -1,7 +1,8 @@
 """Byte-level BPE, encoded by speculation and verification, and its decoding.
 
 Texts split into chunks: the white space before a run of other characters, and that run. No pre-token of the pattern
-reaches over such a boundary, so equal chunks have equal ids everywhere. Each distinct chunk of a batch is encoded once:
+reaches over such a boundary, so equal chunks have equal ids everywhere. For the library, chunks also end where ASCII
+letters, digits and other characters meet, but not between an apostrophe and letters. Each distinct chunk of a batch is encoded once:
 
 - Speculate: a leftmost-longest scan of the vocabulary proposes tokens.
 - Verify: a proposal is the BPE result if and only if every token is its own encoding and every adjacent pair of tokens
@@ -25,7 +26,7 @@ import heapq
 import json
 import os
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,13 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: The pre-tokeniser's pattern, with Unicode's white space spelled out.
 WHITE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+#: ASCII letters, digits and other printing characters. No pre-token has two of these kinds, but for an apostrophe and letters.
+KIND = np.zeros(256, np.uint8)
+KIND[0x21:0x7F] = 3
+KIND[0x30:0x3A] = 2
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+#: Chunks in a text that the library encodes.
+JOINED = 64
 #: Distinct chunks that a worker remembers.
 REMEMBERED = 500_000
 NEVER = np.int64(1) << 40
@@ -251,7 +259,9 @@ class Speculative:
 
 
 class Library:
-    """Encodes distinct chunks by the tokenizers library."""
+    """Encodes distinct chunks by the tokenizers library, JOINED in a text, as a result for each costs time besides its merges.
+    In a text a chunk follows its own white space or a line end, so that it has the pre-tokens that it has alone, and its ids
+    are those that have its bytes. Chunks that end in white space and odd ones are texts of their own."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -260,12 +270,40 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = special_tokens(path)
+        vocab = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
+        for word, i in vocab.items():
+            self.lengths[i] = len(word.encode() if word in self.special else word)  # a letter stands for a byte
+        self.joins = not any(c.isspace() for word in self.special for c in word)
 
-    def __call__(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n
 
+    def __call__(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.joins or len(chunks) < 2:
+            return self.encode([c.decode() for c in chunks])
+        buf = np.frombuffer(b"".join(chunks), np.uint8)
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        off = np.concatenate([[0], np.cumsum(size)])
+        alone = size == 0
+        alone[~alone] = T.SPACE[buf[off[1:][~alone] - 1]]
+        alone[odd_rows(buf, off, list(self.special))] = True
+        ended = ~alone  # those that a line end precedes
+        ended[ended] = ~T.SPACE[buf[off[:-1][ended]]]
+        data = np.insert(buf, off[:-1][ended], ord("\n")).tobytes()
+        end = off[1:] + np.cumsum(ended)
+        start, own = end - size, np.flatnonzero(alone)
+        cut = np.unique(np.concatenate([np.arange(0, len(chunks), JOINED), own, own + 1, [len(chunks)]]))
+        ids, _ = self.encode([data[a:b].decode() for a, b in pairwise(np.append(0, end)[cut].tolist())])
+        at = np.concatenate([[0], np.cumsum(self.lengths[ids])])
+        first, last = np.searchsorted(at, start), np.searchsorted(at, end)
+        if at[-1] != len(data) or (at[first] != start).any() or (at[last] != end).any():  # letters that are no bytes
+            return self.encode([c.decode() for c in chunks])
+        return ids[T.take_ranges(first, last - first)], last - first
+
 
 def odd_rows(buf: np.ndarray, off: np.ndarray, special: list[str]) -> np.ndarray:
     """Rows to be taken whole: those with white space outside ASCII, or with a special token's text."""
@@ -283,11 +321,13 @@ def odd_rows(buf: np.ndarray, off: np.ndarray, special: list[str]) -> np.ndarray
 
 
 class Encoder:
-    """Ids of whole texts; `base` encodes distinct chunks, and the ids of those seen last are remembered."""
+    """Ids of whole texts; `base` encodes distinct chunks, and the ids of those seen last are remembered. `fine` ends chunks
+    between kinds of ASCII characters, too: fewer of them are distinct, as a word is one chunk whatever follows it."""
 
-    def __init__(self, path: str, base=Speculative):
+    def __init__(self, path: str, base=Speculative, fine: bool = False):
         import regex
 
+        self.fine = fine
         self.base, self.special = base(path), special_tokens(path)
         self.pieces = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         self.forget()
@@ -327,6 +367,9 @@ class Encoder:
         space = T.SPACE[buf]
         first = space.copy()
         first[1:] &= ~space[:-1]
+        if self.fine:
+            a, b = KIND[buf[:-1]], KIND[buf[1:]]
+            first[1:] |= (a != b) & (a > 0) & (b > 0) & ((buf[:-1] != ord("'")) | (b != 1))
         first[off[:-1][off[:-1] < len(buf)]] = True
         start = np.flatnonzero(first)
         end = np.append(start[1:], len(buf))
@@ -363,8 +406,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, base=Speculative) -> Encoder:
-    return Encoder(path, base)
+def encoder(path: str, base=Speculative, fine: bool = False) -> Encoder:
+    return Encoder(path, base, fine)
 
 
 def decode(ids: np.ndarray, vocab: Vocabulary) -> tuple[bytes, np.ndarray]:

@@ -215,7 +215,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
     def run(batches):
         from pyspark import TaskContext
 
-        encode, writer = bpe.encoder(vocabulary, bpe.Library), None
+        encode, writer = bpe.encoder(vocabulary, bpe.Library, fine=True), None
         store, root = fs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         for batch in batches:
