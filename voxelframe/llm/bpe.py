@@ -2,7 +2,8 @@
 
 Texts split into chunks: the white space before a run of other characters, and that run. No pre-token of the pattern
 reaches over such a boundary, so equal chunks have equal ids everywhere. For the library, chunks also end where ASCII
-letters, digits and other characters meet, but not between an apostrophe and letters. Each distinct chunk of a batch is encoded once:
+letters, digits and other characters meet, but not between an apostrophe and letters. Each distinct chunk of a batch is
+encoded once:
 
 - Speculate: a leftmost-longest scan of the vocabulary proposes tokens.
 - Verify: a proposal is the BPE result if and only if every token is its own encoding and every adjacent pair of tokens
