@@ -47,3 +47,12 @@ def test_plans_stay_native(spark):
         plan = catalogue.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan, name
         assert "props" not in plan.split("ReadSchema")[-1]
+
+
+def test_rows_of_ten_with_a_rest(spark, duck, tmp_path):
+    """Numbers of records that ten does not divide, and fewer than ten."""
+    for n in (23, 20, 7):
+        d = str(tmp_path / str(n))
+        spark.read.parquet(f"{DIR}/embeddings.parquet").where(f"vec_id < {n}").write.parquet(f"{d}/embeddings.parquet")
+        got = sorted(tuple(r) for r in catalogue.queries()["flatten_reshape"](spark, d).collect())
+        assert got == [r for r in sorted(duck.execute(catalogue.oracle_sql()["flatten_reshape"]).fetchall()) if 10 * r[0] + r[1] < n] and len(got) == n * 64
