@@ -308,3 +308,13 @@ def test_more_images_than_five_digits(spark, tmp_path):
     far.df, far.meta = far.df.withColumn("k0", F.col("k0") + 99999), replace(far.meta, base=(100001,))
     far.tobinary(str(tmp_path / "far"))
     assert (readers.images_from_binary(spark, str(tmp_path / "far"), shape=(2, 2), conf="none.json", dtype="float64").toarray() == images.toarray()).all()
+
+
+def test_more_series_than_five_digits(spark, tmp_path):
+    a = np.arange(80.0).reshape(40, 2)
+    series = readers.series_from_array(spark, a, npartitions=8)
+    far = series._new(F.col("values"))
+    far.df, far.meta = far.df.withColumn("k0", F.col("k0") + 99980), replace(far.meta, base=(100020,))
+    far.tobinary(str(tmp_path / "far"))
+    assert len([n for n in os.listdir(tmp_path / "far") if n.startswith("series-1")]) > 1
+    assert (readers.series_from_binary(spark, str(tmp_path / "far"), shape=(40, 2)).toarray() == a).all()
