@@ -318,3 +318,18 @@ def test_more_series_than_five_digits(spark, tmp_path):
     far.tobinary(str(tmp_path / "far"))
     assert len([n for n in os.listdir(tmp_path / "far") if n.startswith("series-1")]) > 1
     assert (readers.series_from_binary(spark, str(tmp_path / "far"), shape=(40, 2)).toarray() == a).all()
+
+
+def test_names_of_images(spark, tmp_path):
+    """Five digits whatever the number of images, and names in order of the images."""
+    at = [7, 9999, 10000, 99998, 99999, 100000, 100001, 999999, 1000000, 1000001]
+    a = np.arange(40.0).reshape(10, 2, 2)
+    images = readers.images_from_array(spark, a)
+    far = images._new(F.col("values"))
+    far.df, far.meta = far.df.withColumn("k0", F.element_at(F.array(*map(F.lit, at)), F.col("k0").cast("int") + 1).cast("long")), replace(far.meta, base=(1000002,))
+    p = str(tmp_path / "far")
+    far.tobinary(p)
+    names = [r.path.rsplit("/", 1)[1] for r in listing.files(spark, p, "bin").orderBy("file").select("path").collect()]
+    assert names[:5] == [f"image-{k:05d}.bin" for k in at[:5]] and [int(n[6:-4].strip("_")) for n in names] == at
+    assert (readers.images_from_binary(spark, p, shape=(2, 2), conf="none.json", dtype="float64").toarray() == a).all()
+    assert (readers.series_from_binary(spark, p, shape=(20, 2), dtype="float64").toarray() == a.reshape(20, 2)).all()
